@@ -1,0 +1,305 @@
+"""A small PDF reader: text of the pages and link annotations, with the standard library only.
+
+It reads objects wherever they lie in the file (also in object streams), undoes Flate compression, follows the page tree,
+and takes the strings of the text operators in the order of the content, with a new line wherever the text position moves
+down. Fonts with their own encoding are read through their ToUnicode map where they have one. Encrypted files and other
+filters are not read; where PyMuPDF is installed, `sources.files` uses it instead.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+_WS = b" \t\r\n\x0c\x00"
+_DELIM = b"()<>[]{}/%"
+
+
+class Ref(int):
+    """Number of an object that is referred to."""
+
+
+class Name(str):
+    """A PDF name."""
+
+
+class PdfError(ValueError):
+    """The bytes are no PDF that can be read."""
+
+
+class _Parser:
+    def __init__(self, data: bytes, at: int = 0):
+        self.d, self.i = data, at
+
+    def skip(self) -> None:
+        d, n = self.d, len(self.d)
+        while self.i < n:
+            c = d[self.i : self.i + 1]
+            if c in (b"%",):
+                while self.i < n and d[self.i : self.i + 1] not in (b"\r", b"\n"):
+                    self.i += 1
+            elif c and c in _WS:
+                self.i += 1
+            else:
+                return
+
+    def value(self):
+        """The next object; operators of a content stream come as bytes, the end as None."""
+        self.skip()
+        d, i = self.d, self.i
+        if i >= len(d):
+            return None
+        two = d[i : i + 2]
+        c = d[i : i + 1]
+        if two == b"<<":
+            self.i += 2
+            out = {}
+            while True:
+                self.skip()
+                if self.d[self.i : self.i + 2] == b">>" or self.i >= len(d):
+                    self.i += 2
+                    return out
+                k = self.value()
+                v = self.value()
+                out[k if isinstance(k, str) else str(k)] = v
+        if c == b"[":
+            self.i += 1
+            items = []
+            while True:
+                self.skip()
+                if self.i >= len(d) or d[self.i : self.i + 1] == b"]":
+                    self.i += 1
+                    return items
+                items.append(self.value())
+        if c == b"(":
+            return self._string()
+        if c == b"<":
+            j = d.find(b">", i)
+            j = len(d) if j < 0 else j
+            h = re.sub(rb"[^0-9A-Fa-f]", b"", d[i + 1 : j])
+            self.i = j + 1
+            return bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        if c == b"/":
+            j = i + 1
+            while j < len(d) and d[j : j + 1] not in (b"",) and d[j] not in _WS and d[j] not in _DELIM:
+                j += 1
+            self.i = j
+            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), d[i + 1 : j]).decode("latin-1"))
+        m = re.compile(rb"(\d+)\s+(\d+)\s+R\b").match(d, i)
+        if m:
+            self.i = m.end()
+            return Ref(int(m[1]))
+        m = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)").match(d, i)
+        if m:
+            self.i = m.end()
+            return float(m[0]) if b"." in m[0] else int(m[0])
+        j = i + 1
+        while j < len(d) and d[j] not in _WS and d[j] not in _DELIM:
+            j += 1
+        self.i = j
+        word = d[i:j]
+        return {b"true": True, b"false": False, b"null": None}.get(word, word)
+
+    def _string(self) -> bytes:
+        d, i, depth, out = self.d, self.i + 1, 1, bytearray()
+        while i < len(d):
+            c = d[i]
+            if c == 0x5C:
+                nxt = d[i + 1 : i + 2]
+                m = re.compile(rb"[0-7]{1,3}").match(d, i + 1)
+                if m:
+                    out.append(int(m[0], 8) & 255)
+                    i = m.end()
+                elif nxt in (b"\r", b"\n"):
+                    i += 3 if d[i + 1 : i + 3] == b"\r\n" else 2
+                else:
+                    out += {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(nxt, nxt)
+                    i += 2
+                continue
+            if c == 0x28:
+                depth += 1
+            elif c == 0x29:
+                depth -= 1
+                if not depth:
+                    break
+            out.append(c)
+            i += 1
+        self.i = i + 1
+        return bytes(out)
+
+
+class Pdf:
+    def __init__(self, data: bytes):
+        if b"%PDF-" not in data[:1024]:
+            raise PdfError("no PDF header")
+        self.objects: dict[int, object] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in _OBJ.finditer(data):
+            p = _Parser(data, m.end())
+            try:
+                v = p.value()
+            except (ValueError, RecursionError):
+                continue
+            n = int(m[1])
+            self.objects[n] = v
+            p.skip()
+            if isinstance(v, dict) and data[p.i : p.i + 6] == b"stream":
+                a = p.i + 6
+                a += 2 if data[a : a + 2] == b"\r\n" else 1
+                length = v.get("Length")
+                b = a + length if type(length) is int and data[a + length : a + length + 20].lstrip().startswith(b"endstream") else data.find(b"endstream", a)
+                self.streams[n] = data[a : b if b >= 0 else len(data)]
+        for n, v in list(self.objects.items()):
+            if isinstance(v, dict) and v.get("Type") == "ObjStm":
+                body = self._decoded(n)
+                head = _Parser(body)
+                pairs = [(head.value(), head.value()) for _ in range(int(v.get("N", 0)))]
+                for num, off in pairs:
+                    self.objects.setdefault(int(num), _Parser(body, int(v.get("First", 0)) + int(off)).value())
+        if any(isinstance(v, dict) and "Encrypt" in v for v in self.objects.values()) or b"/Encrypt" in data[-2048:]:
+            raise PdfError("encrypted")
+
+    def get(self, v):
+        seen = 0
+        while isinstance(v, Ref) and seen < 50:
+            v, seen = self.objects.get(int(v)), seen + 1
+        return v
+
+    def _decoded(self, n: int) -> bytes:
+        raw, filt = self.streams.get(n, b""), self.get(self.objects[n].get("Filter"))
+        for f in filt if isinstance(filt, list) else [filt] if filt else []:
+            if f in ("FlateDecode", "Fl"):
+                try:
+                    raw = zlib.decompressobj().decompress(raw)
+                except zlib.error:
+                    return b""
+            elif f == "ASCIIHexDecode":
+                raw = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode())
+            else:
+                return b""
+        return raw
+
+    def pages(self) -> list[dict]:
+        out: list[dict] = []
+
+        def walk(v, inherited: dict, depth: int) -> None:
+            v = self.get(v)
+            if not isinstance(v, dict) or depth > 60:
+                return
+            now = inherited | {k: v[k] for k in ("Resources",) if k in v}
+            if "Kids" in v:
+                for kid in self.get(v["Kids"]) or []:
+                    walk(kid, now, depth + 1)
+            else:
+                out.append(now | v)
+
+        root = next((v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), None)
+        if root:
+            walk(root.get("Pages"), {}, 0)
+        if not out:
+            out = [v for v in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Page"]
+        if not out:
+            raise PdfError("no pages")
+        return out
+
+    def _content(self, page: dict) -> bytes:
+        c = page.get("Contents")
+        parts = self.get(c) if isinstance(self.get(c), list) else [c]
+        return b"\n".join(self._decoded(int(p)) for p in parts if isinstance(p, Ref))
+
+    def _fonts(self, page: dict) -> dict[str, dict[bytes, str]]:
+        res = self.get(page.get("Resources")) or {}
+        fonts = self.get(res.get("Font")) or {}
+        out = {}
+        for name, ref in fonts.items():
+            font = self.get(ref) or {}
+            to = font.get("ToUnicode")
+            out[name] = _to_unicode(self._decoded(int(to))) if isinstance(to, Ref) else {}
+        return out
+
+    def page_text(self, page: dict) -> str:
+        fonts, stack, out = self._fonts(page), [], []
+        p, font, y, last_y = _Parser(self._content(page)), {}, 0.0, None
+
+        def show(raw) -> None:
+            nonlocal last_y
+            if not isinstance(raw, bytes):
+                return
+            if out and last_y is not None and abs(y - last_y) > 0.5:
+                out.append("\n")
+            last_y = y
+            out.append(_decode(raw, font))
+
+        while (v := p.value()) is not None or p.i < len(p.d):
+            if not isinstance(v, bytes) or not re.fullmatch(rb"[A-Za-z'\"*]+[01]?", v) or _is_operand(p, v):
+                stack.append(v)
+                continue
+            if v == b"Tf" and len(stack) > 1:
+                font = fonts.get(str(stack[-2]), {})
+            elif v in (b"Td", b"TD") and len(stack) > 1:
+                y += _num(stack[-1])
+            elif v == b"Tm" and len(stack) > 5:
+                y = _num(stack[-1])
+            elif v == b"T*":
+                y -= 1
+            elif v == b"BT":
+                y = 0.0
+            elif v == b"Tj" and stack:
+                show(stack[-1])
+            elif v in (b"'", b'"') and stack:
+                y -= 1
+                show(stack[-1])
+            elif v == b"TJ" and stack and isinstance(stack[-1], list):
+                for x in stack[-1]:
+                    if isinstance(x, bytes):
+                        show(x)
+                    elif isinstance(x, (int, float)) and x < -200:
+                        out.append(" ")
+            stack = []
+        return "".join(out)
+
+    def links(self) -> list[str]:
+        out = []
+        for page in self.pages():
+            for a in self.get(page.get("Annots")) or []:
+                act = self.get((self.get(a) or {}).get("A")) or {}
+                uri = self.get(act.get("URI"))
+                if isinstance(uri, bytes):
+                    out.append(_decode(uri, {}))
+        return out
+
+
+def _is_operand(p: _Parser, v: bytes) -> bool:
+    # strings come back as bytes too: they end with their closing bracket
+    return p.d[p.i - 1 : p.i] in (b")", b">")
+
+
+def _num(x) -> float:
+    return float(x) if isinstance(x, (int, float)) else 0.0
+
+
+def _decode(raw: bytes, cmap: dict[bytes, str]) -> str:
+    if cmap:
+        width = max(map(len, cmap))
+        return "".join(cmap.get(raw[i : i + width], "") for i in range(0, len(raw), width))
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace")
+    return raw.decode("cp1252", "replace")
+
+
+def _to_unicode(cmap: bytes) -> dict[bytes, str]:
+    out: dict[bytes, str] = {}
+
+    def text(h: bytes) -> str:
+        return bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[bytes.fromhex(a.decode())] = text(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            lo, hi, to = int(a, 16), int(b, 16), int(c, 16)
+            for k in range(lo, min(hi, lo + 65535) + 1):
+                out[k.to_bytes(len(a) // 2, "big")] = chr(min(to + k - lo, 0x10FFFF))
+    return out
