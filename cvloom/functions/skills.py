@@ -102,3 +102,18 @@ def with_skills(df: DataFrame, source: str, out: str = "skills", dictionary: Ski
     x = x.withColumn("_second", once(F.expr("filter(_found, s -> not exists(_found, o -> o.name = s.name and o.ord < s.ord))"), "_found"))
     merged = once(F.expr("transform(array_sort(concat(_first, _second)), s -> s.name)"), "_first", "_second")
     return x.withColumn(out, F.when(F.col(source).rlike(r"\S"), merged).otherwise(F.array().cast("array<string>"))).drop("_t", "_w", "_grams", "_hits", "_first", "_low", "_maybe", "_found", "_second")
+
+
+def skill_words(df: DataFrame, source: str, key: str, dictionary: SkillDictionary | None = None) -> DataFrame:
+    """(key, pos, skill): skills that single words, pairs or triples of words of the text spell, with their first position.
+
+    A relational form of the first half of `with_skills`: an equi-join of n-grams with the dictionary, which is a literal
+    table of fixed size.
+    """
+    look = list((dictionary or SkillDictionary.default()).lookup().items())
+    words = F.when(F.col(source).rlike(r"\S"), words_of(F.lower(F.regexp_replace(F.regexp_replace(F.col(source), P.SKILL_LABEL, " "), P.SKILL_SEPARATORS, " "))))
+    x = df.select(F.col(key), words.alias("_w")).select(key, "_w", F.posexplode_outer("_w").alias("i", "w")).where("w is not null")
+    grams = F.expr("array(struct(i * 100 as pos, w as gram), struct(i * 100 + 50 as pos, concat(w, ' ', get(_w, i + 1)) as gram), struct(i * 100 + 25 as pos, concat(w, ' ', get(_w, i + 1), ' ', get(_w, i + 2)) as gram))")
+    g = x.select(key, F.explode(grams).alias("g")).select(key, "g.*")
+    table = df.sparkSession.createDataFrame(look, "gram string, skill string")
+    return g.join(table, "gram").groupBy(key, "skill").agg(F.min("pos").alias("pos")).select(key, "pos", "skill")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = " " + "".join(map(chr, range(0x2000, 0x200C))) + "  　﻿"
+_BLANKS = "\u00a0" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u205f\u3000\ufeff"
 
 
 def strip(c: Column) -> Column:
@@ -29,7 +29,7 @@ def clean_text(c: Column) -> Column:
     """Cleaned text: composed, blanks and line ends made alike, control characters gone, lines stripped, runs of blanks and
     of empty lines shortened. Null stays null; blank text gives the empty string. Case, punctuation and repeated lines are
     kept."""
-    t = F.translate(nfc(c), "  " + _BLANKS, "\n\n" + " " * len(_BLANKS))
+    t = F.translate(nfc(c), "\u2028\u2029" + _BLANKS, "\n\n" + " " * len(_BLANKS))
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?U)(?m)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")

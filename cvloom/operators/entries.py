@@ -79,15 +79,15 @@ def _edu_inline(lines: DataFrame) -> DataFrame:
     parts = lines.where(F.col("line").rlike(P.DEGREE)).select("k", F.col("n").alias("g"), F.posexplode_outer(F.filter(F.transform(F.split("line", P.EDU_SEPARATOR), strip), lambda x: x != "")).alias("p", "part")).where("part is not null")
     w = Window.partitionBy("k", "g")
     d = _with_degree(parts, "part").withColumns({"grade": strip(first_match(F.col("part"), P.GRADE)), "dates": _dates_edu(F.col("part")), "inst": _is_institution(F.col("part")), "parts": F.count("*").over(w)})
-    d = d.withColumn("D", _first_at(F.col("degree").isNotNull(), w, "p"))
-    d = d.withColumn("G", _first_at(F.col("grade").isNotNull() & _not_at("p", "D"), w, "p"))
-    d = d.withColumn("T", _first_at(F.col("dates").isNotNull() & _not_at("p", "D", "G"), w, "p"))
-    d = d.withColumn("I", _first_at(F.col("inst") & _not_at("p", "D", "G", "T"), w, "p"))
+    d = d.withColumn("degree_at", _first_at(F.col("degree").isNotNull(), w, "p"))
+    d = d.withColumn("grade_at", _first_at(F.col("grade").isNotNull() & _not_at("p", "degree_at"), w, "p"))
+    d = d.withColumn("dates_at", _first_at(F.col("dates").isNotNull() & _not_at("p", "degree_at", "grade_at"), w, "p"))
+    d = d.withColumn("inst_at", _first_at(F.col("inst") & _not_at("p", "degree_at", "grade_at", "dates_at"), w, "p"))
 
     def at(value: str, number: str) -> Column:
         return F.max(F.when(F.col("p") == F.col(number), F.col(value)))
 
-    return d.where("parts >= 2").groupBy("k", "g").agg(at("degree", "D").alias("degree"), at("part", "I").alias("institution"), at("dates", "T").alias("dates"), at("field", "D").alias("field_of_study"), at("grade", "G").alias("grade"))
+    return d.where("parts >= 2").groupBy("k", "g").agg(at("degree", "degree_at").alias("degree"), at("part", "inst_at").alias("institution"), at("dates", "dates_at").alias("dates"), at("field", "degree_at").alias("field_of_study"), at("grade", "grade_at").alias("grade"))
 
 
 def education_records(df: DataFrame, key: str, source: str) -> DataFrame:
@@ -103,8 +103,8 @@ def education_records(df: DataFrame, key: str, source: str) -> DataFrame:
     d = d.withColumn("conf", F.when(F.col("line").rlike(P.INSTITUTION), 3).otherwise(0) + F.when(capitalised_words(F.col("line")), 1).otherwise(0))
     d = d.withColumn("g", F.greatest(F.lit(1), F.sum(F.col("degree").isNotNull().cast("int")).over(by_doc.orderBy("n"))))
     by_entry = Window.partitionBy("k", "g")
-    d = d.withColumn("G", _first_at(F.col("grade").isNotNull(), by_entry, "n"))
-    rest = _not_at("n", "G")
+    d = d.withColumn("grade_at", _first_at(F.col("grade").isNotNull(), by_entry, "n"))
+    rest = _not_at("n", "grade_at")
     plain = rest & ~(F.col("only_date") & F.col("dates").isNotNull())
     inst = plain & F.col("degree").isNull() & F.col("inst")
     grouped = d.groupBy("k", "g").agg(
@@ -112,7 +112,7 @@ def education_records(df: DataFrame, key: str, source: str) -> DataFrame:
         F.max_by(F.when(inst, F.col("line")), F.when(inst, F.struct("conf", (-F.col("n")).alias("n")))).alias("institution"),
         _first("dates", "n", rest).alias("dates"),
         F.min_by(F.when(plain & F.col("degree").isNotNull(), F.struct("field")), F.when(plain & F.col("degree").isNotNull(), F.col("n")))["field"].alias("field_of_study"),
-        F.min_by("grade", F.when(F.col("n") == F.col("G"), F.col("n"))).alias("grade"),
+        F.min_by("grade", F.when(F.col("n") == F.col("grade_at"), F.col("n"))).alias("grade"),
     )
     return _finish(lines, grouped.where(F.length("degree") >= 3), _edu_inline(lines).where(F.length("degree") >= 3), 3, ["degree", "institution"], key).select(key, "entry_no", *EDUCATION[:-1], F.lit(None).cast("string").alias("location"))
 
@@ -161,15 +161,15 @@ def _exp_inline(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("k", "g")
     c = F.col("part")
     d = parts.withColumns({"dates": _dates_exp(c), "title": is_job_title(c), "loc": is_location(c), "comp": is_company(c), "parts": F.count("*").over(w)})
-    d = d.withColumn("T", _first_at(F.col("dates").isNotNull(), w, "p"))
-    d = d.withColumn("J", _first_at(F.col("title") & _not_at("p", "T"), w, "p"))
-    d = d.withColumn("P", _first_at(F.col("loc") & _not_at("p", "T", "J"), w, "p"))
-    d = d.withColumn("C", _first_at(F.col("comp") & _not_at("p", "T", "J", "P"), w, "p"))
+    d = d.withColumn("dates_at", _first_at(F.col("dates").isNotNull(), w, "p"))
+    d = d.withColumn("title_at", _first_at(F.col("title") & _not_at("p", "dates_at"), w, "p"))
+    d = d.withColumn("loc_at", _first_at(F.col("loc") & _not_at("p", "dates_at", "title_at"), w, "p"))
+    d = d.withColumn("comp_at", _first_at(F.col("comp") & _not_at("p", "dates_at", "title_at", "loc_at"), w, "p"))
 
     def at(value: str, number: str) -> Column:
         return F.max(F.when(F.col("p") == F.col(number), F.col(value)))
 
-    return d.where("parts >= 2").groupBy("k", "g").agg(at("part", "J").alias("job_title"), at("part", "C").alias("company"), at("dates", "T").alias("dates"), at("part", "P").alias("location"), F.array().cast("array<string>").alias("description"))
+    return d.where("parts >= 2").groupBy("k", "g").agg(at("part", "title_at").alias("job_title"), at("part", "comp_at").alias("company"), at("dates", "dates_at").alias("dates"), at("part", "loc_at").alias("location"), F.array().cast("array<string>").alias("description"))
 
 
 _VALID = "(job_title is not null or (company is not null and dates is not null))"
@@ -198,14 +198,14 @@ def experience_records(df: DataFrame, key: str, source: str) -> DataFrame:
     d = d.withColumn("rest", F.when(dated, F.nullif(cut, F.lit(""))).when(~F.col("bullet") & ~F.col("only_date") & ~F.col("title"), c))
     r = F.col("rest")
     d = d.withColumns({"rest_title": is_job_title(r), "rest_comp": is_company(r), "rest_loc": is_location(r)})
-    d = d.withColumn("P", _first_at(F.col("rest_loc"), Window.partitionBy("k", "g"), "n"))
-    free = _not_at("n", "P") & r.isNotNull()
+    d = d.withColumn("loc_at", _first_at(F.col("rest_loc"), Window.partitionBy("k", "g"), "n"))
+    free = _not_at("n", "loc_at") & r.isNotNull()
     pure_title = F.col("title") & ~F.col("bullet") & ~F.col("only_date") & F.col("dates").isNull()
     grouped = d.groupBy("k", "g").agg(
         F.coalesce(_first("line", "n", pure_title), _first("rest", "n", free & F.col("rest_title"))).alias("title1"),
         _first("rest", "n", free & F.col("rest_comp") & ~F.col("rest_title")).alias("company1"),
         F.min_by(F.coalesce("dates", F.when(F.col("only_date"), c)), F.when(~F.col("bullet") & (F.col("only_date") | F.col("dates").isNotNull()), F.col("n"))).alias("dates"),
-        F.max(F.when(F.col("n") == F.col("P"), r)).alias("location"),
+        F.max(F.when(F.col("n") == F.col("loc_at"), r)).alias("location"),
         F.min_by(F.when(r.isNotNull(), F.struct("rest", "rest_title", "rest_comp")), F.when(r.isNotNull(), F.col("n"))).alias("last"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("bullet"), F.struct("n", F.regexp_replace(c, P.BULLET, "").alias("text"))))), lambda x: x["text"]).alias("description"),
     )

@@ -152,7 +152,7 @@ _KEYS = {
 }
 _EDUCATION = {"degree", "institution", "dates", "field_of_study", "grade", "location"}
 _EXPERIENCE = {"job_title", "company", "dates", "location"}
-_BREAK = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
+_BREAK = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 
 
 @lru_cache(maxsize=4096)

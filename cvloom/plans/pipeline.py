@@ -48,8 +48,8 @@ def record_json(fields: list[str] = RECORD) -> Column:
 
 
 def file_size_label(n: Column) -> Column:
-    """A size in bytes for people: B, KB with one decimal, or MB with two."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / (1024 * 1024)))
+    """A size in bytes for people: B, KB with one decimal, or MB with two; halves are rounded to even."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.2f MB", F.bround(n / (1024 * 1024), 2)))
 
 
 def dashboard(records: DataFrame, key: str = "resume_id") -> DataFrame:

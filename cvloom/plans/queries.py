@@ -11,6 +11,7 @@ from cvloom.functions.contact import contact, email, name, phone
 from cvloom.functions.profiles import github, linkedin, profiles
 from cvloom.functions.sections import section_of, with_sections
 from cvloom.functions.skills import SkillDictionary, dictionary_rows, with_skills
+from cvloom.functions.skills import skill_words as words_that_spell_skills
 from cvloom.functions.text import clean_text, lines_of
 from cvloom.functions.vocab import GITHUB_RESERVED
 from cvloom.operators import intervals, shred, units
@@ -151,6 +152,11 @@ def skills_by_resume(spark: SparkSession, d: str) -> DataFrame:
     return _skills(spark, d)
 
 
+def skill_words(spark: SparkSession, d: str) -> DataFrame:
+    """The skills that words spell, with their first position."""
+    return words_that_spell_skills(prepare(_resumes(spark, d)), "skills_text", "resume_id")
+
+
 def skill_doc_counts(spark: SparkSession, d: str) -> DataFrame:
     return _skills(spark, d).groupBy("skill").agg(F.count("*").alias("n_docs"))
 
@@ -235,7 +241,7 @@ QUERIES: dict[str, Query] = {
         p1_found, p1_education, p1_experience, p1_lines, p3_found, p4_found, p4_grades,
         clean_text_resumes, clean_text_docs, line_stats, heading_lines, section_bodies, section_counts,
         email_first, email_first_docs, phone_first, name_first, contact_info, linkedin_url, github_profile, profile_links,
-        skills_by_resume, skill_doc_counts, skill_category_counts, skill_dictionary,
+        skills_by_resume, skill_words, skill_doc_counts, skill_category_counts, skill_dictionary,
         education_entries, education_degree_counts, experience_entries, experience_bullets,
         resume_records, resume_json, resume_dashboard, education_card_view, experience_card_view, file_size_labels, format_routes, reserved_slug_anti,
     )
