@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 _BLANKS = "\u00a0" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u205f\u3000\ufeff"
 
 
+#: White space of any kind.
+_SPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def _nfc(texts: pd.Series) -> pd.Series:
@@ -32,8 +36,8 @@ def clean_text(c: Column) -> Column:
     t = F.translate(nfc(c), "\u2028\u2029" + _BLANKS, "\n\n" + " " * len(_BLANKS))
     t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?U)(?m)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
     t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, "[ \u1680]*\n[ \u1680]*", "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 

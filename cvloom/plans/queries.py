@@ -19,13 +19,13 @@ from cvloom.operators.entries import education_records, experience_records
 from cvloom.plans import pipeline
 from cvloom.plans.pipeline import prepare
 from cvloom.sources.files import extension, format_error
-from cvloom.tables import table
+from cvloom.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _flat(spark: SparkSession, d: str) -> DataFrame:
-    return shred.shred_records(table(spark, d, "parsed_records"))
+    return shred.shred_records(spread(table(spark, d, "parsed_records").select("record_id", "resume_id", "payload")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,22 +45,26 @@ def p1_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.employment_periods(table(spark, d, "experience"))
+    return intervals.employment_periods(spread(table(spark, d, "experience").select("resume_id", "company", "dates")))
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "education").select("edu_id", "grade", "agency_id"))
 
 
 def p4_grades(spark: SparkSession, d: str) -> DataFrame:
-    return units.grade_shares(table(spark, d, "education"), table(spark, d, "agencies"), table(spark, d, "grading_scales"))
+    return units.grade_shares(_graded(spark, d), table(spark, d, "agencies"), table(spark, d, "grading_scales"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.usable_grades(table(spark, d, "education"), table(spark, d, "agencies"), table(spark, d, "grading_scales"))
+    return units.usable_grades(_graded(spark, d), table(spark, d, "agencies"), table(spark, d, "grading_scales"))
 
 
 # ---- the document pipeline over the résumés ---------------------------------------------------------
 
 
 def _resumes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "resumes").select("resume_id", "path", "raw_text", "extra_urls")
+    return spread(table(spark, d, "resumes").select("resume_id", "path", "raw_text", "extra_urls"))
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:

@@ -28,3 +28,13 @@ def use_checkpoints(spark: SparkSession) -> str:
     if not jvm_folder.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if the scan has too few splits to keep half of them busy.
+
+    A file of one row group is one task however many cores there are. Where a step per row costs much more than moving the
+    row, it pays to move it; tables of many splits are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
