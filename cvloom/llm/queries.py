@@ -7,25 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cvloom.llm import bpe, canonical, garble, names, packing, pii
-from cvloom.tables import table
+from cvloom.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "experience").select("exp_id", "description"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found_items(table(spark, d, "experience"))
+    return pii.found_items(_lines(spark, d))
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted_lines(table(spark, d, "experience"))
+    return pii.redacted_lines(_lines(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.inconsistent_values(table(spark, d, "candidates"), table(spark, d, "experience"))
+    return canonical.inconsistent_values(table(spark, d, "candidates"), _lines(spark, d))
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.canonical_values(table(spark, d, "candidates"), table(spark, d, "experience")).select("field", "row_id", "line_no", "canonical")
+    return canonical.canonical_values(table(spark, d, "candidates"), _lines(spark, d)).select("field", "row_id", "line_no", "canonical")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,23 +41,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, d, "documents"))
+    return bpe.encode_texts(_documents(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"))
+    return packing.pack_documents(_documents(spark, d))
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
-    return packing.usage(packing.pack_documents(table(spark, d, "documents")))
+    return packing.usage(packing.pack_documents(_documents(spark, d)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return garble.garbled_documents(table(spark, d, "documents"))
+    return garble.garbled_documents(_documents(spark, d))
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
-    return garble.judged(table(spark, d, "documents")).select("doc_id", "restored", "garbled")
+    return garble.judged(_documents(spark, d)).select("doc_id", "restored", "garbled")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p5_canonical, p6_found, p7_ids, p8_containers, p8_usage, p9_found, p9_restored)}
