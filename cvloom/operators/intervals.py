@@ -109,7 +109,7 @@ def _year_of(point: str) -> int | None:
 
 
 _RANGES = re.compile(
-    rf"(?P<prefix>\b(?:since|from|until|till|up\s+to|to|before|by)\s+)?(?P<first>{_POINT}|{_MON}(?={_JOIN}{_POINT}))"
+    rf"(?P<prefix>\b(?:since|from|until|till|up\s+to|to|before|by)\s+)?(?<!\d)(?P<first>{_POINT}|{_MON}(?={_JOIN}{_POINT}))"
     rf"(?:{_JOIN}(?:(?P<last>{_POINT})|(?P<open>{_OPEN})|(?P<short>\d{{2}})(?!\d)|(?P<nothing>(?=\s*(?:$|[;,)])))))?",
     re.ASCII,
 )
