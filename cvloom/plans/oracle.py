@@ -202,3 +202,39 @@ SQL: dict[str, str] = {
         WITH c AS ({CORPUS}), s AS (SELECT regexp_replace(unnest(regexp_extract_all(clean_text, '(?i)github\\.com/[a-z0-9_-]+')), '(?i)github\\.com/', '') AS slug FROM c)
         SELECT slug, count(*) AS n FROM s WHERE slug NOT IN ({_quoted(GITHUB_RESERVED)}) GROUP BY slug""",
 }
+
+# ---- grades ------------------------------------------------------------------------------------------
+
+_SMALL = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety hundred".split()
+_SAID = ", ".join(f"('{w}', {n})" for w, n in [*((w, k + 1) for k, w in enumerate(_SMALL)), *((w, 10 * k + 20) for k, w in enumerate(_TENS)), *((f"{t}-{u}", 10 * k + 21 + j) for k, t in enumerate(_TENS[:-1]) for j, u in enumerate(_SMALL[:9]))])
+_N = r"\d+(?:[.,]\d+)*"
+_L = r"(?: ?(?:cgpa|gpa|grade|score|points?|marks?))?"
+_W = "(?:" + "|".join([*_SMALL, *_TENS]) + ")"
+
+
+def _readings(c: str) -> str:
+    """The readings of a number: grouped thousands first, if it may be one, then decimal."""
+    return f"CASE WHEN regexp_matches({c}, '^\\d{{1,3}}(,\\d{{3}})+$') THEN [replace({c}, ',', '')::DECIMAL(18,6), replace({c}, ',', '.')::DECIMAL(18,6)] ELSE [replace({c}, ',', '.')::DECIMAL(18,6)] END"
+
+
+#: All in millionths, as whole numbers, so that halves are exact.
+SQL["p4_found"] = f"""
+WITH said(word, n) AS (VALUES {_SAID}),
+e AS (SELECT edu_id, agency_id, lower(trim(regexp_replace(grade, '\\s+', ' ', 'g'))) AS t FROM education WHERE grade IS NOT NULL),
+w AS (SELECT *, regexp_extract(t, '({_N})', 1) AS num, regexp_extract(t, '^([a-z]+(?:-[a-z]+)?) (?:per ?cent|pct)', 1) AS word FROM e),
+p AS (SELECT w.*, CASE WHEN num <> '' THEN num ELSE said.n::VARCHAR END AS v0, CASE WHEN num <> '' THEN substr(t, 1, strpos(t, num) - 1) ELSE '' END AS bef,
+             CASE WHEN num <> '' THEN substr(t, strpos(t, num) + length(num)) ELSE substr(t, length(w.word) + 1) END AS aft FROM w LEFT JOIN said ON num = '' AND said.word = w.word),
+s AS (SELECT *, regexp_extract(aft, '^{_L} ?[(\\[]?({_N}) ?=? ?best', 1) AS hi, regexp_extract(aft, 'best ?,? ?({_N}) ?=? ?worst', 1) AS lo,
+        coalesce(nullif(regexp_extract(aft, '^{_L} ?(?:/|out of|of) ?({_N}|{_W})', 1), ''), nullif(regexp_extract(aft, '^{_L} ?\\(?({_N}) ?(?:point )?scale', 1), ''), nullif(regexp_extract(aft, '^{_L} ?on a scale of ({_N}|{_W})', 1), '')) AS top,
+        upper(regexp_extract(aft, '^(?: ?\\[|, ?scale )([a-z]\\d+)', 1)) AS code,
+        regexp_matches(aft, '^ ?(?:%|per ?cent|pct)') OR contains(bef, 'percent') AS pct FROM p WHERE v0 IS NOT NULL),
+k AS (SELECT s.*, CASE WHEN hi <> '' AND lo <> '' THEN hi WHEN top IS NOT NULL THEN coalesce(said.n::VARCHAR, top) WHEN code <> '' THEN g1.best::VARCHAR WHEN pct THEN '100' ELSE g2.best::VARCHAR END AS b0,
+        CASE WHEN hi <> '' AND lo <> '' THEN lo::DECIMAL(18,6) WHEN top IS NOT NULL THEN 0 WHEN code <> '' THEN g1.worst WHEN pct THEN 0 ELSE g2.worst END AS w0
+      FROM s LEFT JOIN said ON said.word = s.top LEFT JOIN grading_scales g1 ON g1.scale_code = s.code
+      LEFT JOIN agencies a ON a.agency_id = s.agency_id LEFT JOIN grading_scales g2 ON g2.scale_code = a.default_scale),
+r AS (SELECT edu_id, w0, unnest({_readings('v0')}) AS v, {_readings('b0')} AS bs FROM k WHERE b0 IS NOT NULL),
+r2 AS (SELECT edu_id, v, w0, unnest(bs) AS b FROM r),
+o AS (SELECT edu_id, CAST(v * 1000000 AS HUGEINT) AS v, CAST(b * 1000000 AS HUGEINT) AS b, CAST(w0 * 1000000 AS HUGEINT) AS w, row_number() OVER (PARTITION BY edu_id ORDER BY round(abs(ln(v / greatest(b, w0) / 0.75)), 5), v DESC) AS best FROM r2 WHERE v > 0)
+SELECT edu_id, CAST((20000 * abs(v - w) + abs(b - w)) // (2 * abs(b - w)) AS INTEGER) AS grade_bp FROM o WHERE best = 1 AND v BETWEEN least(b, w) AND greatest(b, w) AND b <> w
+"""
