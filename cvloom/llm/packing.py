@@ -161,20 +161,41 @@ def complete_bins(counts: dict[int, int], capacity: int, bins: int) -> list[tupl
     return None
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Containers that the sizes need at least, counting waste that they force.
+
+    Sizes are changed by functions under which whatever fits into a container still fits: those of Martello and Toth (L2;
+    a size above capacity - e becomes the capacity, one below e becomes 0) and of Fekete and Schepers (of k + 1 sizes just
+    above capacity / (k + 1) only k fit, so each counts 1 / k), one after the other.
+    """
+    size, n = (np.asarray(x, dtype=np.int64) for x in (list(counts), list(counts.values())))
+    k = np.arange(1, 21, dtype=np.int64)[:, None]
+    best = -(-int(size @ n) // capacity)
+    for e in range(capacity // 2 + 1):
+        cut = np.where(size > capacity - e, capacity, np.where(size >= e, size, 0))
+        # in units of capacity * k, so that all is exact
+        need = np.where((k + 1) * cut % capacity, (k + 1) * cut // capacity * capacity, cut * k) @ n
+        best = max(best, -(-int(cut @ n) // capacity), *(-(-int(x) // (capacity * int(j))) for x, j in zip(need, k[:, 0])))
+    return best
+
+
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Pattern, int]], int]:
-    """The fillings to use and how often, and the least number of containers that the sizes allow at all.
+    """The fillings to use and how often, and a number of containers that no packing can go below.
 
-    Best fit is the incumbent. The search tries each smaller number of containers from the bound up and takes the first
-    that it completes.
+    Best fit is the incumbent. The search tries the bound and the two numbers above it, and then bisects up to the
+    incumbent; what it completes is the new incumbent, so it ends when the number just below the incumbent has failed.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
-    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+    bound = lower_bound(counts, capacity)
     plan = best_fit(counts, capacity)
-    used = sum(k for _, k in plan)
-    for bins in range(bound, min(used, bound + 3)):
+    used, low = sum(k for _, k in plan), bound
+    while low < used:
+        bins = low if low < bound + 3 else (low + used - 1) // 2
         better = complete_bins(counts, capacity, bins)
-        if better is not None:
-            return better, bound
+        if better is None:
+            low = bins + 1
+        else:
+            plan, used = better, sum(k for _, k in better)
     return plan, bound
 
 

@@ -215,6 +215,16 @@ def test_small_plans_are_best():
         assert sum(k for _, k in plan) == least(items, 20)
 
 
+def test_counts_far_above_the_bound_are_searched():
+    """Sizes that force waste, so that neither the sum nor best fit is near the least number."""
+    forced = {1000: 1000, 522: 120, 276: 120, 266: 120, 236: 240}
+    plan, bound = packing.plan_packing(forced)
+    assert sum(k for _, k in packing.best_fit(forced, 1024)) == 1220
+    assert (sum(k for _, k in plan), bound) == (1180, 1180)
+    assert packing.plan_packing({600: 40, 500: 3})[1] == 42
+    assert packing.plan_packing({400: 40})[1] == 20
+
+
 def test_pack_on_spark(spark):
     sizes = [(k, n) for k, n in enumerate([0, 1, 5, 10, 10, 10, 25, 7, 3, 0, 10] * 30)] + [(5000, None), (1, 1)]
     df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
