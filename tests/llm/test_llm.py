@@ -278,6 +278,22 @@ def test_one_word_and_twice(restorer):
     assert restorer.judge(twice, "fr").text == SAID["fr"][0]
 
 
+@pytest.mark.parametrize("read", ["mac_roman", "cp850", "cp1251"])
+@pytest.mark.parametrize("copies", [True, False])
+@pytest.mark.parametrize("share", [0.33, 0.85])
+def test_frequent_garbled_words_do_not_become_usual(read, copies, share):
+    """A third or more of the rows the model is fitted on are garbled: one text again and again, or a whole source."""
+    rng = random.Random(2)
+    good = [(g, " ".join(rng.sample(s, 2))) for g, s in SAID.items() for _ in range(60)]
+    table = {b: ch for ch, b in garble._to_bytes(read).items()}
+    hit = [("fr", " ".join(SAID["fr"][:2]))] if copies else good
+    right = rng.choices(hit, k=int(len(good) * share / (1 - share)))
+    bad = [(g, "".join(chr(table[b]) for b in t.encode("cp1252"))) for g, t in right]
+    r = garble.Restorer(garble.fit(good + bad))
+    assert {r.judge(t, g).text for g, t in bad} == {t for _, t in right}
+    assert not any(r.judge(t, g).garbled for g, t in good)
+
+
 def test_judged_on_spark(spark):
     docs = [(k, s, g) for k, (g, s) in enumerate((g, " ".join(v)) for g, v in SAID.items() for _ in range(20))]
     docs += [(100, "The cafÃ© owners have asked for clarity.", None), (101, None, "en"), (102, "", None), (103, LONG, "en"), (100, "The cafÃ© owners have asked for clarity.", None)]
