@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from json.decoder import scanstring
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ SCHEMA = Node(
         Node("education", tuple(Node(x) for x in ("degree", "institution", "dates", "field_of_study", "grade", "location", "other")), True),
         Node(
             "employer",
-            (Node("employer_name"), Node("employer_location"), Node("role", (*(Node(x) for x in ENTRY_LEAVES), Node("line", (Node("text"),), True)), True)),
+            (Node("employer_name"), Node("employer_location"), Node("employer_other"), Node("role", (*(Node(x) for x in ENTRY_LEAVES), Node("line", (Node("text"),), True)), True)),
             True,
         ),
     ),
@@ -165,30 +166,111 @@ def _reject(x: str):
     raise ValueError(x)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def parse_deep(text: str):
+    """JSON of any depth: one loop over the text with a stack of its own. Raises ValueError if it is not valid.
+
+    Open containers lie on `stack`, with the key that waits for its value beside an object. It is slower than the library's
+    parser, which stops at the depth of the interpreter's own stack, and only takes over there.
+    """
+    stack: list = []
+    keys: list = []
+    at, value, n = _BLANK.match(text, 0).end(), None, len(text)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            opened = {} if c == "{" else []
+            at = _BLANK.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                value, at = opened, at + 1
+            else:
+                stack.append(opened)
+                keys.append(None)
+                if c == "{":
+                    keys[-1], at = _member(text, at)
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            value, at = json.loads(m[0]), m.end()
+        while True:  # a value has ended: it goes into what holds it, which may end with it
+            at = _BLANK.match(text, at).end()
+            if not stack:
+                if at != n:
+                    raise ValueError(f"more text at {at}")
+                return value
+            holder = stack[-1]
+            is_list = isinstance(holder, list)
+            if is_list:
+                holder.append(value)
+            else:
+                holder[keys[-1]] = value
+            c = text[at : at + 1]
+            if c == ",":
+                at = _BLANK.match(text, at + 1).end()
+                if not is_list:
+                    keys[-1], at = _member(text, at)
+                break
+            if c != ("]" if is_list else "}"):
+                raise ValueError(f"no end of a container at {at}")
+            value, at = stack.pop(), at + 1
+            keys.pop()
+
+
+def _member(text: str, at: int) -> tuple[str, int]:
+    """The key that begins at `at`, and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = _BLANK.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, _BLANK.match(text, at + 1).end()
+
+
+def parse(text: str):
+    """A JSON value of any depth. Raises ValueError if the text is not valid JSON."""
+    try:
+        return json.loads(text, parse_constant=_reject)
+    except RecursionError:
+        return parse_deep(text)
+
+
 def _unquoted(value):
     """A list or object that was written as a string of JSON."""
     if isinstance(value, str):
         s = value.strip()
         if s[:1] in ("[", "{"):
             try:
-                return json.loads(s, parse_constant=_reject)
-            except (ValueError, RecursionError):
+                return parse(s)
+            except ValueError:
                 return value
     return value
 
 
 def strings(value) -> Iterator[str]:
-    """All texts below a value, in the order written."""
+    """All texts below a value, in the order written, however deep they lie."""
     if isinstance(value, str):
         yield value
-    elif isinstance(value, dict):
-        for v in value.values():
-            yield from strings(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from strings(v)
-    elif value is not None and not isinstance(value, bool):
-        yield str(value)
+        return
+    stack = [iter((value,))]
+    while stack:
+        for v in stack[-1]:
+            if isinstance(v, str):
+                yield v
+            elif isinstance(v, (dict, list)):
+                stack.append(iter(v.values() if isinstance(v, dict) else v))
+                break
+            elif v is not None and not isinstance(v, bool):
+                yield str(v)
+        else:
+            stack.pop()
 
 
 def _text(value) -> str | None:
@@ -201,19 +283,18 @@ def _text(value) -> str | None:
 
 
 def _entries(value, known: set[str]) -> list:
-    """The entries of a list field: a list, an object by running number, one bare entry, or any of these as a string."""
+    """The entries of a list field: a list, an object by running number, one bare entry, or any of these as a string, with
+    lists in lists taken apart in order."""
     value = _unquoted(value)
-    if isinstance(value, dict):
-        if value and not ({_key(k) for k in value} & (known | {"description", "roles"})):
-            value = list(value.values())
+    if isinstance(value, dict) and value and not ({_key(k) for k in value} & (known | {"description", "roles"})):
+        value = list(value.values())
+    out, todo = [], list(reversed(value)) if isinstance(value, list) else [value]
+    while todo:
+        v = _unquoted(todo.pop())
+        if isinstance(v, list):
+            todo.extend(reversed(v))
         else:
-            value = [value]
-    elif not isinstance(value, list):
-        value = [value]
-    out = []
-    for v in value:
-        v = _unquoted(v)
-        out.extend(_entries(v, known) if isinstance(v, list) else [v])
+            out.append(v)
     return out
 
 
@@ -247,48 +328,53 @@ def _role(entry) -> dict:
     return got
 
 
-def _holders(value) -> Iterator[dict]:
-    """The objects that hold the two lists, below any wrapping objects and lists."""
-    if isinstance(value, list):
-        for v in value:
-            yield from _holders(v)
-    elif isinstance(value, dict):
-        own = {_key(k): v for k, v in value.items()}
-        if "education" in own or "experience" in own:
-            yield own
-        else:
-            for v in value.values():
-                yield from _holders(v)
+def _holders(value) -> Iterator[dict[str, list]]:
+    """The objects that hold the two lists, below any wrapping objects and lists; of each, the values by key."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, list):
+            todo.extend(reversed(v))
+        elif isinstance(v, dict):
+            own: dict[str, list] = {}
+            for k, x in v.items():
+                own.setdefault(_key(k), []).append(x)
+            if "education" in own or "experience" in own:
+                yield own
+            else:
+                todo.extend(reversed(v.values()))
 
 
 def canonical(payload: str | None) -> dict | None:
-    """A payload as a record of SCHEMA; None if it is null or no valid JSON."""
+    """A payload as a record of SCHEMA; None if it is null. Raises ValueError if it is no valid JSON."""
     if payload is None:
         return None
-    try:
-        parsed = json.loads(payload, parse_constant=_reject)
-        record: dict = {"education": [], "employer": []}
-        for own in _holders(parsed):
-            record["education"] += [_fields(e, _EDUCATION, "degree") for e in _entries(own.get("education"), _EDUCATION)]
-            for e in _entries(own.get("experience"), _EXPERIENCE):
-                roles = next((v for k, v in e.items() if _key(k) == "roles"), None) if isinstance(e, dict) else None
-                if roles is None:
-                    record["employer"].append({"role": [_role(e)]})
-                else:
-                    firm = _fields(e, _EXPERIENCE, "company")
-                    record["employer"].append({"employer_name": firm.get("company"), "employer_location": firm.get("location"), "role": [_role(r) for r in _entries(roles, _EXPERIENCE)]})
-        return record
-    except (ValueError, RecursionError):
-        return None
+    record: dict = {"education": [], "employer": []}
+    for own in _holders(parse(payload)):
+        for value in own.get("education", ()):
+            record["education"] += [_fields(e, _EDUCATION, "degree") for e in _entries(value, _EDUCATION)]
+        for e in (x for value in own.get("experience", ()) for x in _entries(value, _EXPERIENCE)):
+            roles = next((v for k, v in e.items() if _key(k) == "roles"), None) if isinstance(e, dict) else None
+            if roles is None:
+                record["employer"].append({"role": [_role(e)]})
+            else:
+                firm = _fields(e, _EXPERIENCE, "company")
+                rest = [firm[x] for x in ("job_title", "dates", "other") if firm.get(x)]
+                record["employer"].append(
+                    {"employer_name": firm.get("company"), "employer_location": firm.get("location"), "employer_other": " ".join(rest) or None, "role": [_role(r) for r in _entries(roles, _EXPERIENCE)]}
+                )
+    return record
 
 
 # ---- the flat tables --------------------------------------------------------------------------------
 
 FLAT = (
     "record_id bigint, resume_id bigint, field string, entry_no int, line_no int, degree string, institution string, "
-    "field_of_study string, grade string, job_title string, company string, dates string, location string, text string"
+    "field_of_study string, grade string, job_title string, company string, dates string, location string, other string, employer_other string, text string"
 )
-_VALUES = ["degree", "institution", "field_of_study", "grade", "job_title", "company", "dates", "location"]
+
+
+_NUMBERS = ("record_id", "resume_id", "entry_no", "line_no")
 
 
 def _number(group: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -300,18 +386,21 @@ def _number(group: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 
 def rebuild(payloads: Iterable[str | None]) -> pd.DataFrame:
-    """Rows of entries and lines of a batch of payloads; `row` is the payload's position."""
+    """Rows of entries and lines of a batch of payloads; `row` is the payload's position. What is no valid JSON gives one
+    row of the field `error` with the reason as text."""
     s = Shredder(SCHEMA)
-    rows = []
+    rows, errors = [], []
     for k, p in enumerate(payloads):
-        r = canonical(p)
+        try:
+            r = canonical(p)
+        except ValueError as e:
+            errors.append({"row": k, "field": "error", "entry_no": 0, "line_no": 0, "text": str(e)})
+            continue
         if r is not None:
             s.add(r)
             rows.append(k)
-    if not rows:
-        return pd.DataFrame({"row": []})
-    at = np.asarray(rows)
-    out = []
+    out = [pd.DataFrame(errors).astype({"text": object})] if errors else []
+    at = np.asarray(rows, dtype=np.int64)
 
     def filled(path: str) -> np.ndarray:
         return np.asarray([v is not None for v in s.columns[path].value], dtype=bool)
@@ -332,14 +421,15 @@ def rebuild(payloads: Iterable[str | None]) -> pd.DataFrame:
             has = begins & filled(path)
             counts[owner[has]] = True
         number = _number(rec, counts)
-        entry = {"row": at[rec], "field": field_name, "entry_no": number, "line_no": 0} | dict(zip(leaves, own))
+        entry = {"row": at[rec], "field": field_name, "entry_no": number, "line_no": 0} | dict(zip((*leaves, "other"), own))
         if field_name == "experience":
             # the employer's name and place hold for roles that do not give their own
+            begins_role, _ = s.items(first, anchor)
+            of = s.owner(first, "record.employer")[begins_role]
+            # the employer's leaf has one slot per employer; a role finds its employer by its own level sequence
+            entry["employer_other"] = s.leaf_of_items("record.employer.employer_other", "record.employer")[of]
             for mine, theirs in (("company", "employer_name"), ("location", "employer_location")):
-                # the employer's leaf has one slot per employer; a role finds its employer by its own level sequence
                 firm = s.leaf_of_items(f"record.employer.{theirs}", "record.employer")
-                begins_role, _ = s.items(first, anchor)
-                of = s.owner(first, "record.employer")[begins_role]
                 entry[mine] = np.where(np.asarray([v is None for v in entry[mine]]), firm[of], entry[mine])
             lines = np.flatnonzero(has)
             mine = owner[lines]
@@ -352,8 +442,10 @@ def shred_records(df: DataFrame, id_col: str = "record_id", parent_col: str = "r
     """Flat tables of the nested lists in `payload_col`, all in one pass, as rows of FLAT.
 
     A row with `line_no` 0 is an entry of `field`; a row with a greater one is a line below it. Narrow: no shuffle.
-    Null, empty or broken payloads, and JSON without the two lists, give no rows; entries without any text and blank
-    lines are not counted. Repeated payloads give their rows again; extra columns of `df` are left out. A null id is kept.
+    Payloads that are no valid JSON, empty ones among them, give one row of the field `error`, which only `error_table`
+    shows; null payloads and JSON without the two lists give no rows. Objects may be nested to any depth. What an entry
+    holds besides the known fields, a second value of a known field among it, is its `other`; what an employer of several
+    roles holds besides name and place is the `employer_other` of each role. Entries without any text and blank lines are not counted. Repeated payloads give their rows again; extra columns of `df` are left out. A null id is kept.
     """
     need = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(parent_col).cast("bigint").alias("resume_id"), F.col(payload_col).cast("string").alias("payload"))
     names = [x.split()[0] for x in FLAT.split(", ")]
@@ -367,15 +459,15 @@ def shred_records(df: DataFrame, id_col: str = "record_id", parent_col: str = "r
                     at = got["row"].to_numpy(dtype=np.int64)
                     for c in ("record_id", "resume_id"):
                         got[c] = part[c].array.take(at)
-                    yield got.reindex(columns=names)
+                    yield got.reindex(columns=names).astype({c: object for c in names if c not in _NUMBERS})
 
     return need.mapInPandas(run, FLAT)
 
 
 def entry_table(flat: DataFrame, field_name: str) -> DataFrame:
     """The entries of `education` or `experience`, keyed by record and entry number."""
-    own = ["degree", "institution", "dates", "field_of_study", "grade", "location"] if field_name == "education" else ["job_title", "company", "dates", "location"]
-    return flat.where((F.col("field") == field_name) & (F.col("line_no") == 0)).select("record_id", "resume_id", "entry_no", *own)
+    own = ["degree", "institution", "dates", "field_of_study", "grade", "location"] if field_name == "education" else ["job_title", "company", "dates", "location", "employer_other"]
+    return flat.where((F.col("field") == field_name) & (F.col("line_no") == 0)).select("record_id", "resume_id", "entry_no", *own, "other")
 
 
 def line_table(flat: DataFrame) -> DataFrame:
@@ -383,5 +475,10 @@ def line_table(flat: DataFrame) -> DataFrame:
     return flat.where(F.col("line_no") > 0).select("record_id", "entry_no", "line_no", "text")
 
 
+def error_table(flat: DataFrame) -> DataFrame:
+    """The payloads that are no valid JSON, and why."""
+    return flat.where(F.col("field") == "error").select("record_id", "resume_id", F.col("text").alias("error"))
+
+
 def found(flat: DataFrame) -> DataFrame:
-    return flat.select("record_id", "field", "entry_no", "line_no")
+    return flat.where(F.col("field") != "error").select("record_id", "field", "entry_no", "line_no")

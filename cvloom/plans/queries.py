@@ -44,6 +44,10 @@ def p1_lines(spark: SparkSession, d: str) -> DataFrame:
     return shred.line_table(_flat(spark, d))
 
 
+def p1_errors(spark: SparkSession, d: str) -> DataFrame:
+    return shred.error_table(_flat(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.employment_periods(spread(table(spark, d, "experience").select("resume_id", "company", "dates")))
 
@@ -242,7 +246,7 @@ def reserved_slug_anti(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_education, p1_experience, p1_lines, p3_found, p4_found, p4_grades,
+        p1_found, p1_education, p1_experience, p1_lines, p1_errors, p3_found, p4_found, p4_grades,
         clean_text_resumes, clean_text_docs, line_stats, heading_lines, section_bodies, section_counts,
         email_first, email_first_docs, phone_first, name_first, contact_info, linkedin_url, github_profile, profile_links,
         skills_by_resume, skill_words, skill_doc_counts, skill_category_counts, skill_dictionary,

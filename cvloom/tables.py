@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,25 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def use_checkpoints(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    The cluster names a folder that all executors share in `spark.checkpoint.dir`; only where that is
-    unset (tests on one machine) a temporary folder is made.
+    The cluster names a folder that all executors share in `spark.checkpoint.dir`. Only with a local master, where one
+    machine is all there is, a temporary folder stands in for it; on a cluster without the setting this raises.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    jvm_folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    jvm_folder = context._jsc.sc().getCheckpointDir()
     if not folder and jvm_folder.isDefined():
         return jvm_folder.get()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "cvloom-checkpoints")
     if not jvm_folder.isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, if the scan has too few splits to keep half of them busy.
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The table with a hint to broadcast it if it has at most `rows` rows, which is counted; otherwise as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Session setting: the splits that a scan should have at least; 0 leaves every scan as its files are split.
+LEAST_SPLITS = "spark.cvloom.leastSplits"
+
+
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """The rows in at least `least` partitions (default: the setting LEAST_SPLITS, or else more than half of the cores).
 
     A file of one row group is one task however many cores there are. Where a step per row costs much more than moving the
-    row, it pays to move it; tables of many splits are left as they are, without a shuffle.
+    row, it pays to move it. A scan that has `least` splits already, as any table of more than a few files, is left as it
+    is, without a shuffle; otherwise its rows are dealt out to all cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if least is None:
+        least = int(df.sparkSession.conf.get(LEAST_SPLITS, str(cores // 2 + 1)))
+    return df.repartition(max(least, cores)) if least and df.rdd.getNumPartitions() < least else df

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cvloom.operators import intervals, shred, units
@@ -36,9 +37,47 @@ def test_shredding(spark):
     assert [r.text for r in shred.line_table(flat).where("record_id = 0").orderBy("line_no").collect()] == ["x", "y", "z", "w"]
     roles = shred.entry_table(flat, "experience").where("record_id = 2").orderBy("entry_no").collect()
     assert [(r.job_title, r.company, r.location) for r in roles] == [("one", "Firm", "P"), (None, "Firm", "P")]
+    assert sorted(r.record_id for r in shred.error_table(flat).collect()) == [4, 5, 8]
     assert shred.shred_records(df.limit(0)).count() == 0
 
 
+def test_any_depth():
+    """Thousands of levels, above the two lists and inside a description, and a broken end that far down."""
+    n = 5_000
+    inner = '{"education": [{"degree": "A", "subject": "S"}], "experience": [{"title": "T", "position": "second", "description": ' + "[" * n + '"x"' + "]" * n + "}]}"
+    deep = '{"data": ' * n + inner + "}" * n
+    got = shred.rebuild([deep, inner, deep[:-1], '["' + "[" * n + '"]'])
+    assert [(r.row, r.field, r.entry_no, r.line_no) for r in got.sort_values(["row", "field", "line_no"]).itertuples()] == [
+        (k, f, 1, j) for k in (0, 1) for f, j in (("education", 0), ("experience", 0), ("experience", 1))
+    ] + [(2, "error", 0, 0)]
+    assert set(got["other"].dropna()) == {"S", "second"}
+
+
+def test_deep_parser_is_the_parser():
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 6:
+            return {rng.choice("abc\"\\é"): value(depth - 1) for _ in range(rng.randrange(4))}
+        return [None, True, rng.randrange(-9, 9), rng.random() * 1e9, rng.choice(["", "x\n", "é\u2028", '"'])][kind]
+
+    for _ in range(300):
+        v = value(5)
+        text = json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert shred.parse_deep(text) == v
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", ",", "]", "x"]) + text[rng.randrange(len(text)) :]
+        try:
+            want = json.loads(broken, parse_constant=shred._reject)
+        except ValueError:
+            with pytest.raises(ValueError):
+                shred.parse_deep(broken)
+        else:
+            assert shred.parse_deep(broken) == want
+
+
 def test_levels_rebuild_any_record():
     """Random records: the rows from the level sequences are those of walking the records."""
     rng = random.Random(4)
