@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cvloom.functions.text import once
+from cvloom.tables import are_small
+
+#: A factor, or a factor and a zero.
+Unit = float | Column | tuple[float | Column, float | Column]
+
 
 def resolve_units(
     df: DataFrame,
-    units: Mapping[str, Mapping[str, float]],
+    units: Mapping[str, Mapping[str, Unit]],
     identity: Mapping[str, int],
     allowed: Mapping[str, Mapping[str, Column]] | None = None,
     tolerance: float = 1e-6,
@@ -19,38 +24,43 @@ def resolve_units(
 ) -> DataFrame:
     """Choose the unit of each value so that a physical identity among columns holds as well as it can.
 
-    `units` names for each column the units it may be in, with the factor to the common unit, the preferred one first.
-    `identity` gives exponents: the product of the converted values raised to them is 1 where all is right, for example
-    {"mass": 1, "density": -1, "volume": -1}. `allowed` can forbid a unit in a row. Of all combinations the one with the
-    least absolute log residual is chosen, and of equal ones the one listed first. Adds the struct `out`: `unit_<column>`
-    and `value_<column>` (converted), `residual`, and `unique`, which is false if another combination with other converted
-    values fits as well within `tolerance`. Narrow, and inside the JVM. A null or non-positive value, or no allowed
-    combination, gives a null struct. Other columns are kept; the name `out` must be free.
+    `units` names for each column the units it may be in, the preferred one first: the factor to the common unit, or the
+    pair (factor, zero) where the unit counts from another zero, as degrees do: converted = (value - zero) * factor. Both
+    may be columns, where they differ from row to row. `identity` gives exponents: the product of the converted values
+    raised to them is 1 where all is right, for example {"mass": 1, "density": -1, "volume": -1}. `allowed` can forbid a
+    unit in a row. Of all combinations the one with the least absolute log residual is chosen, and of equal ones the one
+    listed first. Adds the struct `out`: `unit_<column>` and `value_<column>` (converted), `residual`, and `unique`, which is
+    false if another combination with other converted values fits as well within `tolerance`. Narrow, and inside the JVM.
+    Combinations in which a converted value is null or not positive do not count; without any left the struct is null.
+    Other columns are kept; the name `out` must be free.
     """
     allowed = allowed or {}
     cols = list(units)
-    combos = list(itertools.product(*(list(units[c].items()) for c in cols)))
-    log = {c: F.ln(F.col(c).cast("double")) for c in cols}
-    usable = F.lit(True)
-    for c in cols:
-        usable = usable & F.coalesce(F.col(c) > 0, F.lit(False))
-    options = []
-    for k, combo in enumerate(combos):
-        total = F.lit(0.0)
-        ok = usable
-        for c, (name, factor) in zip(cols, combo):
-            total = total + identity[c] * (log[c] + F.ln(F.lit(float(factor))))
-            if name in allowed.get(c, {}):
-                ok = ok & F.coalesce(allowed[c][name], F.lit(False))
-        values = [F.struct(F.lit(name).alias("unit"), (F.col(c).cast("double") * factor).alias("value")).alias(c) for c, (name, factor) in zip(cols, combo)]
-        options.append(F.when(ok, F.struct((F.round(F.abs(total) / tolerance) * tolerance).alias("residual"), F.lit(k).alias("k"), *values)))
-    d = df.withColumn("_options", F.array_sort(F.array_compact(F.array(*options))))
+    d = df
+    for n, c in enumerate(cols):
+        found = []
+        for k, (name, unit) in enumerate(units[c].items()):
+            factor, zero = unit if isinstance(unit, tuple) else (unit, None)
+            v = F.col(c).cast("double")
+            v = (v if zero is None else v - zero) * (factor if isinstance(factor, Column) else F.lit(float(factor)))
+            one = F.struct(F.lit(k).alias("k"), F.lit(name).alias("unit"), v.alias("value"))
+            found.append(F.when(allowed[c][name], one) if name in allowed.get(c, {}) else one)
+        # what is null or not positive is dropped here, so that combinations are formed of possible readings only
+        d = d.withColumn(f"_units{n}", F.filter(F.array(*found), lambda x: x["value"] > 0))
+
+    def combined(n: int, taken: list[Column]) -> Column:
+        if n == len(cols):
+            total = sum((identity[c] * F.ln(x["value"]) for c, x in zip(cols, taken)), F.lit(0.0))
+            return F.array(F.struct((F.round(F.abs(total) / tolerance) * tolerance).alias("residual"), *[x.alias(f"x{k}") for k, x in enumerate(taken)]))
+        return F.flatten(F.transform(F.col(f"_units{n}"), lambda x: combined(n + 1, [*taken, x])))
+
+    d = d.withColumn("_options", once(F.array_sort(combined(0, [])), *[f"_units{n}" for n in range(len(cols))]))
     best = F.get("_options", F.lit(0))
-    different = " or ".join(f"abs(ln(x.`{c}`.value / _options[0].`{c}`.value)) > {tolerance}" for c in cols)
+    different = " or ".join(f"abs(ln(x.x{n}.value / _options[0].x{n}.value)) > {tolerance}" for n in range(len(cols)))
     rivals = F.expr(f"exists(_options, x -> x.residual = _options[0].residual and ({different}))")
-    parts = [x for c in cols for x in (best[c]["unit"].alias(f"unit_{c}"), best[c]["value"].alias(f"value_{c}"))]
+    parts = [x for n, c in enumerate(cols) for x in (best[f"x{n}"]["unit"].alias(f"unit_{c}"), best[f"x{n}"]["value"].alias(f"value_{c}"))]
     solved = F.when(F.size("_options") > 0, F.struct(*parts, best["residual"].alias("residual"), (~rivals).alias("unique")))
-    return d.withColumn(out, solved).drop("_options")
+    return d.withColumn(out, once(solved, "_options")).drop("_options", *[f"_units{n}" for n in range(len(cols))])
 
 
 # ---- grades -----------------------------------------------------------------------------------------
@@ -63,8 +73,6 @@ _WORDS = {
 }
 _WORD = "(?:" + "|".join(_WORDS) + r")(?:[\s-]+(?:" + "|".join(list(_WORDS)[:9]) + r"))?\b"
 _LABEL = r"(?:\s*(?:cgpa|gpa|sgpa|grade|score|points?|pts|marks?)\b\.?)?"
-#: A share as it is typical for grades; only ratios between readings matter.
-TYPICAL_SHARE = 0.75
 
 
 def _group(c: Column, pattern: str, k: int = 1) -> Column:
@@ -129,52 +137,86 @@ def parse_grades(df: DataFrame, grade: str = "grade") -> DataFrame:
     ).drop("_t", "_digits", "_said", "_before", "_after", "_best", "_low", "_of", "_percent")
 
 
+_D = "decimal(18,6)"
+_GROUPED = r"^\d{1,3}(?:,\d{3})+$"
+
+
+def _on_scales(education: DataFrame, agencies: DataFrame, scales: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The parsed grades with the ends of the scale that the text gives (`_b`, `_w`) and of the agency's (`_ab`, `_aw`)."""
+    known = scales.select(F.col("scale_code").alias("_code"), F.col("best").cast(_D).alias("_sb"), F.col("worst").cast(_D).alias("_sw")).dropDuplicates(["_code"])
+    own = agencies.select("agency_id", F.col("default_scale").alias("_code")).dropDuplicates(["agency_id"]).join(side(known), "_code").select("agency_id", F.col("_sb").alias("_ab"), F.col("_sw").alias("_aw"))
+    d = parse_grades(education.select("edu_id", "grade", "agency_id")).join(side(own), "agency_id", "left").join(side(known), "_code", "left")
+    return d.select(
+        "edu_id",
+        "agency_id",
+        "_kind",
+        F.expr(f"try_cast(_value as {_D})").alias("_v"),
+        F.when(F.col("_kind") == "percent", F.lit(100).cast(_D)).when(F.col("_kind").isin("of", "ends"), F.expr(f"try_cast(_top as {_D})")).when(F.col("_kind") == "code", F.col("_sb")).alias("_b"),
+        F.when(F.col("_kind").isin("of", "percent"), F.lit(0).cast(_D)).when(F.col("_kind") == "ends", F.expr(f"try_cast(_worst as {_D})")).when(F.col("_kind") == "code", F.col("_sw")).alias("_w"),
+        "_ab",
+        "_aw",
+        F.coalesce(F.col("_value_text").rlike(_GROUPED), F.lit(False)).alias("_gv"),
+        F.coalesce(F.col("_top_text").rlike(_GROUPED), F.lit(False)).alias("_gb"),
+    )
+
+
+def agency_shares(graded: DataFrame) -> DataFrame:
+    """(agency_id, typical): the mean share of the grades of each agency, and of those without one, over the grades that
+    can be read in one way only. One row per agency; summed up before the shuffle, so an agency with a third of all rows
+    is no hot group."""
+    b, w = F.coalesce("_b", "_ab"), F.coalesce("_w", "_aw")
+    share = ((F.col("_v") - w) / (b - w)).cast("double")
+    # conditions inside of the aggregate: a filter would be pushed down with the whole definition of its columns
+    one = graded.select("agency_id", share.alias("share"), (F.col("_gv") | F.col("_gb")).alias("open"))
+    return one.groupBy("agency_id").agg(F.avg(F.when(~F.col("open") & F.col("share").between(0, 1), F.col("share"))).alias("typical"))
+
+
 def grade_shares(education: DataFrame, agencies: DataFrame, scales: DataFrame) -> DataFrame:
     """One row per row of `education`: (edu_id, value, best, worst, scale_source, grade_bp, unique).
 
-    `grade_bp` is 10000 * (value - worst) / (best - worst), rounded half up. A scale in the text goes before the agency's
-    default; "x of y" and percentages have worst 0. The comma of a number such as 1,030 may group thousands or be decimal:
-    both readings of value and top are units (factors 1000 and 1), and `resolve_units` takes those for which
-    value = share * top fits a typical share best, since a share above 1 is impossible. `unique` is false if two readings
-    fit equally well but differ. Not usable, with null `grade_bp`: null, blank or wordy grades, a value outside its scale,
-    no scale in the text and no agency (or one without default). `agencies` and `scales` are the size of a register; Spark
-    broadcasts them by their size on disk, or else joins by shuffle. Repeated rows count like others.
+    `grade_bp` is 10000 * (value - worst) / (best - worst). The scales are the units: on each, a value converts to its share
+    of the way from worst (the zero) to best, and `resolve_units` takes the scale and the reading of the numbers (the comma of
+    1,030 may group thousands or be decimal, in the value and in the top) for which the share agrees best with the typical
+    share of the same agency's other grades. A scale in the text goes before the agency's default, so the latter is allowed
+    only where the text gives none; "x of y" and percentages have worst 0. `unique` is false if two readings fit equally well
+    but differ; such a grade is not usable. Not usable, with null `grade_bp`, are also null, blank or wordy grades, a value
+    outside its scale, no scale in the text and no agency (or one without default). Where no other grade of the agency can be
+    read, the typical share is 1. Registers of up to 100,000 rows (counted) are broadcast, larger ones joined by shuffle.
+    Repeated rows count like others.
     """
-    d = parse_grades(education.select("edu_id", "grade", "agency_id"))
-    defaults = agencies.select("agency_id", F.col("default_scale").alias("_default")).dropDuplicates(["agency_id"])
-    known = scales.select(F.col("scale_code").alias("_scale"), F.col("best").cast("decimal(18,6)").alias("_sbest"), F.col("worst").cast("decimal(18,6)").alias("_sworst")).dropDuplicates(["_scale"])
-    d = d.join(defaults, "agency_id", "left").withColumn("_scale", F.when(F.col("_kind").isNull(), F.col("_default")).otherwise(F.col("_code"))).join(known, "_scale", "left")
-    num = "decimal(18,6)"
-    d = d.withColumns(
-        {
-            "_v": F.expr(f"try_cast(_value as {num})"),
-            "_b": F.when(F.col("_kind") == "percent", F.lit(100).cast(num)).when(F.col("_kind").isin("of", "ends"), F.expr(f"try_cast(_top as {num})")).otherwise(F.col("_sbest")),
-            "_w": F.when(F.col("_kind").isin("of", "percent"), F.lit(0).cast(num)).when(F.col("_kind") == "ends", F.expr(f"try_cast(_worst as {num})")).otherwise(F.col("_sworst")),
-        }
-    )
-    grouped = r"^\d{1,3}(?:,\d{3})+$"
-    d = d.withColumn("_share", F.lit(TYPICAL_SHARE))
-    comma = {"grouped": 1000.0, "decimal": 1.0}
-    d = resolve_units(
-        d.withColumns({"_pv": F.col("_v"), "_pb": F.greatest("_b", "_w")}),
-        {"_pv": comma, "_pb": comma, "_share": {"": 1.0}},
-        {"_pv": 1, "_pb": -1, "_share": -1},
-        {"_pv": {"grouped": F.col("_value_text").rlike(grouped)}, "_pb": {"grouped": F.col("_top_text").rlike(grouped)}},
-    )
-    factor = {c: F.when(F.col(f"solution.unit_{c}") == "grouped", F.lit(1000)).otherwise(F.lit(1)) for c in ("_pv", "_pb")}
-    d = d.withColumns({"value": (F.col("_v") * factor["_pv"]).cast(num), "best": (F.col("_b") * factor["_pb"]).cast(num), "worst": F.col("_w")})
-    inside = (F.col("value") >= F.least("best", "worst")) & (F.col("value") <= F.greatest("best", "worst")) & (F.col("best") != F.col("worst"))
-    share = F.expr("cast(10000 * cast(value - worst as decimal(18,6)) as decimal(28,6)) / cast(best - worst as decimal(18,6))")
-    return d.select(
+    # what is joined has at most one row per row of a register, so the registers' sizes decide
+    side = F.broadcast if are_small(agencies, scales) else lambda x: x
+    d = _on_scales(education, agencies, scales, side)
+    typical = agencies.select("agency_id").distinct().join(agency_shares(d), "agency_id")
+    d = d.join(side(typical), "agency_id", "left").withColumns({"_grade": F.col("_v"), "_typical": F.coalesce("typical", F.lit(1.0))})
+    scale = {"text": ("_b", "_w", 1), "text, top grouped": ("_b", "_w", 1000), "agency": ("_ab", "_aw", 1)}
+    hypotheses, allowed = {}, {}
+    for reading, times in (("grouped", 1000), ("decimal", 1)):
+        for name, (b, w, more) in scale.items():
+            best, worst = F.col(b).cast("double") * more, F.col(w).cast("double")
+            key = f"{name}, {reading}"
+            hypotheses[key] = (times / F.nullif(best - worst, F.lit(0.0)), worst / times)
+            of_text = F.col("_kind").isNull() if name == "agency" else F.col("_kind").isNotNull() & (F.col("_gb") if more > 1 else F.lit(True))
+            allowed[key] = of_text & (F.col("_gv") if times > 1 else F.lit(True))
+    d = resolve_units(d, {"_grade": hypotheses, "_typical": {"": 1.0}}, {"_grade": 1, "_typical": -1}, {"_grade": allowed})
+    unit = F.coalesce(F.col("solution.unit__grade"), F.lit(""))
+    times, more = F.when(unit.endswith("grouped"), 1000).otherwise(1), F.when(unit.contains("top grouped"), 1000).otherwise(1)
+    by_text = F.col("_kind").isNotNull()
+    d = d.select(
         "edu_id",
-        "value",
-        "best",
-        "worst",
-        F.when(F.col("_kind").isNotNull(), F.lit("text")).when(F.col("best").isNotNull(), F.lit("agency")).alias("scale_source"),
-        F.when(inside, F.round(share, 0).cast("int")).alias("grade_bp"),
+        (F.col("_v") * times).cast(_D).alias("value"),
+        F.when(by_text, F.col("_b") * more).otherwise(F.col("_ab")).cast(_D).alias("best"),
+        F.when(by_text, F.col("_w")).otherwise(F.col("_aw")).alias("worst"),
+        F.when(by_text, F.lit("text")).when(F.col("_ab").isNotNull(), F.lit("agency")).alias("scale_source"),
         F.col("solution.unique").alias("unique"),
     )
+    inside = (F.col("value") >= F.least("best", "worst")) & (F.col("value") <= F.greatest("best", "worst")) & (F.col("best") != F.col("worst")) & F.coalesce("unique", F.lit(True))
+    share = F.expr("cast(10000 * cast(value - worst as decimal(18,6)) as decimal(28,6)) / cast(best - worst as decimal(18,6))")
+    return d.select("edu_id", "value", "best", "worst", "scale_source", F.when(inside, F.round(share, 0).cast("int")).alias("grade_bp"), "unique")
 
 
 def usable_grades(education: DataFrame, agencies: DataFrame, scales: DataFrame) -> DataFrame:
-    return grade_shares(education, agencies, scales).where(F.col("grade_bp").isNotNull()).select("edu_id", "grade_bp")
+    """(edu_id, grade_bp) of the usable grades. The filter stands behind a generator, since otherwise it would be pushed down
+    with the whole definition of the grade in it."""
+    one = grade_shares(education, agencies, scales).select("edu_id", F.explode_outer(F.array("grade_bp")).alias("grade_bp"))
+    return one.where("grade_bp is not null")

@@ -34,9 +34,9 @@ def use_checkpoints(spark: SparkSession) -> str:
     return folder
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """The table with a hint to broadcast it if it has at most `rows` rows, which is counted; otherwise as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def are_small(*tables: DataFrame, rows: int = 100_000) -> bool:
+    """Has each of the tables at most `rows` rows? They are counted, no further than that."""
+    return all(t.select(F.lit(1)).limit(rows + 1).count() <= rows for t in tables)
 
 
 #: Session setting: the splits that a scan should have at least; 0 leaves every scan as its files are split.
