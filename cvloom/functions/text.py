@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +75,11 @@ def has_word(c: Column, words: list[str]) -> Column:
     return F.arrays_overlap(words_of(F.lower(c)), F.array(*map(F.lit, words)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def once(expr: Column, *arrays: str) -> Column:
     """`expr`, with a second reference to array columns that it uses inside lambdas.
 

@@ -10,7 +10,7 @@ from cvloom.functions.profiles import profiles
 from cvloom.functions.sections import section_body, with_sections
 from cvloom.functions.skills import SkillDictionary, with_skills
 from cvloom.functions.text import blank_to_null, clean_text
-from cvloom.operators.entries import EDUCATION, EXPERIENCE, education_records, experience_records
+from cvloom.operators.entries import education, experience
 
 RECORD = ["name", "email", "phone", "skills", "education", "experience", "linkedin", "github"]
 
@@ -22,24 +22,21 @@ def prepare(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return d.withColumns({f"{s}_text": F.coalesce(section_body("sections", s), whole) for s in ("skills", "education", "experience")})
 
 
-def _collected(records: DataFrame, key: str, fields: list[str], out: str) -> DataFrame:
-    return records.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
-
-
 def resume_records(df: DataFrame, key: str = "resume_id", text: str = "raw_text", urls: str = "extra_urls", dictionary: SkillDictionary | None = None) -> DataFrame:
     """One row per document: key, the eight fields of RECORD, and `error`.
 
-    Null text gives the error 'no text' and empty fields; lists are never null. `key` must be unique. Other columns are
-    left out, so none can clash.
+    Narrow: a document is one row from its text to its record, cleaned once, on a stream as in a batch. Null text gives the
+    error 'no text' and empty fields; lists are never null. Repeated keys give a record each. Other columns are left out, so
+    none can clash, but for `error`, which is kept where it is given.
     """
-    base = df.select(key, F.col(text).alias("raw_text"), F.col(urls).alias("extra_urls"))
+    known = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    base = df.select(key, F.col(text).alias("raw_text"), F.col(urls).alias("extra_urls"), known.alias("error"))
     d = with_skills(prepare(base), "skills_text", dictionary=dictionary)
-    flat = d.withColumns({"_c": contact(F.col("clean_text")), "_p": profiles(F.coalesce("clean_text", F.lit("")), F.col("extra_urls"))})
-    edu = _collected(education_records(d, key, "education_text"), key, EDUCATION, "education")
-    exp = _collected(experience_records(d, key, "experience_text"), key, EXPERIENCE, "experience")
-    joined = flat.select(key, "_c.*", "skills", "_p.*", F.when(F.col("raw_text").isNull(), "no text").alias("error")).join(edu, key, "left").join(exp, key, "left")
-    kinds = {"education": f"array<struct<{','.join(f'{c}:string' for c in EDUCATION)}>>", "experience": f"array<struct<{','.join(f'{c}:string' for c in EXPERIENCE[:-1])},description:array<string>>>"}
-    return joined.select(key, *[F.coalesce(F.col(c), F.array()).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in RECORD], "error")
+    d = d.withColumns({"_c": contact(F.col("clean_text")), "_p": profiles(F.coalesce("clean_text", F.lit("")), F.col("extra_urls"))})
+    d = d.withColumns({"education": education(F.col("education_text")), "experience": experience(F.col("experience_text"))})
+    own = {"name": "_c.name", "email": "_c.email", "phone": "_c.phone", "linkedin": "_p.linkedin", "github": "_p.github"}
+    error = F.coalesce("error", F.when(F.col("raw_text").isNull(), "no text"))
+    return d.select(key, *[F.col(own.get(c, c)).alias(c) for c in RECORD], error.alias("error"))
 
 
 def record_json(fields: list[str] = RECORD) -> Column:
