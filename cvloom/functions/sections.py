@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvloom.functions.text import lines_of, once, strip
+from cvloom.functions.text import constant, let, lines_of, strip
 from cvloom.functions.vocab import MAX_HEADING, SECTION_ALIASES, SENTENCE_WORDS
 
 
@@ -20,35 +20,46 @@ def heading_key(line: Column) -> Column:
 
 def section_of(line: Column) -> Column:
     """The section that a line opens, null if it is no heading."""
-    table = F.create_map(*[F.lit(x) for kv in live_aliases().items() for x in kv])
+    table = constant(live_aliases(), "map<string,string>")
     return F.when(F.length(strip(line)) <= MAX_HEADING, F.try_element_at(table, heading_key(line)))
 
 
-def with_sections(df: DataFrame, text: str = "clean_text", out: str = "sections") -> DataFrame:
-    """Adds the sections of a cleaned text as array<struct<section, body>>, in order of first appearance.
+SECTIONS_TYPE = "array<struct<section:string,body:string>>"
+
+
+def sections(text: Column) -> Column:
+    """The sections of a cleaned text as SECTIONS_TYPE, in order of first appearance.
 
     Lines before the first heading belong to none. Bodies of one section are joined by an empty line; a heading without
     body gives an empty body. No heading, blank or null text gives an empty array. Narrow.
     """
-    d = df.withColumn("_lines", F.coalesce(lines_of(F.col(text)), F.array().cast("array<string>")))
-    d = d.withColumn("_of", F.transform("_lines", section_of))
-    d = d.withColumn("_heads", once(F.expr("filter(sequence(0, greatest(size(_of) - 1, 0)), i -> get(_of, i) is not null)"), "_of"))
-    d = d.withColumn(
-        "_blocks",
-        once(
-            F.expr(
-                "transform(_heads, (h, k) -> struct(_of[h] as section, "
-                r"regexp_replace(array_join(slice(_lines, h + 2, coalesce(get(_heads, k + 1), size(_lines)) - h - 1), '\n'), '^\\s+|\\s+$', '') as body))"
-            ),
-            "_of",
-            "_lines",
-            "_heads",
-        ),
-    )
-    merged = F.expr(
-        r"transform(array_distinct(transform(_blocks, b -> b.section)), s -> struct(s as section, array_join(transform(filter(_blocks, b -> b.section = s and b.body <> ''), b -> b.body), '\n\n') as body))"
-    )
-    return d.withColumn(out, once(merged, "_blocks")).drop("_lines", "_of", "_heads", "_blocks")
+
+    def blocks(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, k: F.struct(k.alias("k"), section_of(x).alias("of")))
+
+        def cut(heads: Column) -> Column:
+            def one(h: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(heads, i + 1)["k"], F.size(lines))
+                body = F.array_join(F.slice(lines, h["k"] + 2, end - h["k"] - 1), "\n")
+                return F.struct(h["of"].alias("section"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
+
+            return F.transform(heads, one)
+
+        return let(F.filter(marked, lambda m: m["of"].isNotNull()), cut)
+
+    def merged(found: Column) -> Column:
+        def one(s: Column) -> Column:
+            bodies = F.transform(F.filter(found, lambda b: (b["section"] == s) & (b["body"] != "")), lambda b: b["body"])
+            return F.struct(s.alias("section"), F.array_join(bodies, "\n\n").alias("body"))
+
+        return F.transform(F.array_distinct(F.transform(found, lambda b: b["section"])), one)
+
+    return F.coalesce(let(let(lines_of(text), blocks), merged), F.array().cast(SECTIONS_TYPE))
+
+
+def with_sections(df: DataFrame, text: str = "clean_text", out: str = "sections") -> DataFrame:
+    """Adds the sections of a cleaned text."""
+    return df.withColumn(out, sections(F.col(text)))
 
 
 def section_body(sections: str, name: str) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvloom.functions import patterns as P
-from cvloom.functions.text import once, words_of
+from cvloom.functions.text import constant, let, words_of
 from cvloom.functions.vocab import SKILL_ALIASES, SKILLS, STRICT_SKILLS
 
 
@@ -67,41 +67,50 @@ def dictionary_rows(spark: SparkSession, d: SkillDictionary) -> DataFrame:
     return spark.createDataFrame(rows, "category string, canonical string, json_ord int, pattern_rank int, resolved string")
 
 
-def with_skills(df: DataFrame, source: str, out: str = "skills", dictionary: SkillDictionary | None = None) -> DataFrame:
-    """Adds the skills of the text in `source` as array<string>, each once, in order of appearance; empty for null or blank.
+def skills(text: Column, dictionary: SkillDictionary | None = None) -> Column:
+    """The skills of a text as array<string>, each once, in order of appearance; empty for null or blank.
 
     First single words, pairs and triples of words are looked up; then every skill whose letters occur in the text at all
     is searched by its pattern, longest first. Positions of the first kind count words in hundreds, those of the second
-    characters, as the rules have it. Narrow and inside the JVM: the dictionary is a literal, and the cheap test for the
-    letters comes before the pattern.
+    characters, as the rules have it. Narrow and inside the JVM: the dictionary is a literal, and the cheap tests (is it one
+    of the spellings, are the letters there) come before the costly ones.
     """
     d = dictionary or SkillDictionary.default()
     look = d.lookup()
-    table = F.create_map(*[F.lit(x) for kv in look.items() for x in kv])
-    entries = F.array(*[F.struct(F.lit(s.lower()).alias("low"), F.lit(skill_pattern(s)).alias("pattern"), F.lit(k).alias("rank"), F.lit(look.get(s.lower(), s)).alias("name")) for k, s in enumerate(d.ranked())])
-    x = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(source), F.lit("")), P.SKILL_LABEL, " "))
-    x = x.withColumn("_w", words_of(F.lower(F.regexp_replace("_t", P.SKILL_SEPARATORS, " "))))
-    x = x.withColumn(
-        "_grams",
-        once(
-            F.flatten(
-                F.expr(
-                    "transform(_w, (w, i) -> array(struct(i * 100 as pos, w as gram), "
-                    "struct(i * 100 + 25 as pos, if(i + 2 < size(_w), concat(w, ' ', _w[i + 1], ' ', _w[i + 2]), '') as gram), "
-                    "struct(i * 100 + 50 as pos, if(i + 1 < size(_w), concat(w, ' ', _w[i + 1]), '') as gram)))"
-                )
-            ),
-            "_w",
-        ),
-    )
-    x = x.withColumn("_hits", F.filter(F.transform("_grams", lambda g: F.struct(g["pos"].alias("pos"), F.try_element_at(table, g["gram"]).alias("name"))), lambda h: h["name"].isNotNull()))
-    x = x.withColumn("_first", once(F.expr("transform(array_distinct(transform(_hits, h -> h.name)), n -> struct(filter(_hits, h -> h.name = n)[0].pos as pos, 1 as pass, 0 as ord, n as name))"), "_hits"))
-    x = x.withColumn("_low", F.array(F.lower("_t")))
-    x = x.withColumn("_maybe", once(F.filter(entries, lambda s: F.col("_low")[0].contains(s["low"])), "_low"))
-    x = x.withColumn("_found", once(F.expr("filter(transform(_maybe, s -> struct(regexp_instr(_t, s.pattern) - 1 as pos, 2 as pass, s.rank as ord, s.name as name)), s -> s.pos >= 0 and not exists(_first, f -> f.name = s.name))"), "_first", "_maybe"))
-    x = x.withColumn("_second", once(F.expr("filter(_found, s -> not exists(_found, o -> o.name = s.name and o.ord < s.ord))"), "_found"))
-    merged = once(F.expr("transform(array_sort(concat(_first, _second)), s -> s.name)"), "_first", "_second")
-    return x.withColumn(out, F.when(F.col(source).rlike(r"\S"), merged).otherwise(F.array().cast("array<string>"))).drop("_t", "_w", "_grams", "_hits", "_first", "_low", "_maybe", "_found", "_second")
+    table, spelled = constant(look, "map<string,string>"), list(look)
+    rows = [{"low": s.lower(), "pattern": skill_pattern(s), "rank": k, "name": look.get(s.lower(), s)} for k, s in enumerate(d.ranked())]
+    entries = constant(rows, "array<struct<low:string,pattern:string,rank:int,name:string>>")
+
+    def item(pos: Column, step: int, ord_: Column, name: Column) -> Column:
+        return F.struct(pos.alias("pos"), F.lit(step).alias("pass"), ord_.alias("ord"), name.alias("name"))
+
+    def looked_up(t: Column) -> Column:
+        def grams(w: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                two = F.concat_ws(" ", x, F.get(w, i + 1))
+                grams = ((0, x), (25, F.when(i + 2 < F.size(w), F.concat_ws(" ", two, F.get(w, i + 2)))), (50, F.when(i + 1 < F.size(w), two)))
+                return F.array(*[F.struct((i * 100 + n).alias("pos"), g.alias("gram")) for n, g in grams])
+
+            return F.filter(F.flatten(F.transform(w, at)), lambda g: g["gram"].isin(spelled))
+
+        hits = F.transform(let(words_of(F.lower(F.regexp_replace(t, P.SKILL_SEPARATORS, " "))), grams), lambda g: F.struct(g["pos"].alias("pos"), F.try_element_at(table, g["gram"]).alias("name")))
+        return let(hits, lambda h: F.transform(F.array_distinct(F.transform(h, lambda x: x["name"])), lambda n: item(F.get(F.filter(h, lambda x: x["name"] == n), F.lit(0))["pos"], 1, F.lit(0), n)))
+
+    def searched(t: Column, first: Column) -> Column:
+        maybe = let(F.lower(t), lambda low: F.filter(entries, lambda s: low.contains(s["low"])))
+        rest = F.filter(maybe, lambda s: ~F.exists(first, lambda f: f["name"] == s["name"]))
+        found = F.filter(F.transform(rest, lambda s: item(F.regexp_instr(t, s["pattern"]) - 1, 2, s["rank"], s["name"])), lambda s: s["pos"] >= 0)
+        return let(found, lambda x: F.filter(x, lambda s: ~F.exists(x, lambda o: (o["name"] == s["name"]) & (o["ord"] < s["ord"]))))
+
+    def both(t: Column) -> Column:
+        return let(looked_up(t), lambda first: F.transform(F.array_sort(F.concat(first, searched(t, first))), lambda s: s["name"]))
+
+    return F.when(text.rlike(r"\S"), let(F.regexp_replace(text, P.SKILL_LABEL, " "), both)).otherwise(F.array().cast("array<string>"))
+
+
+def with_skills(df: DataFrame, source: str, out: str = "skills", dictionary: SkillDictionary | None = None) -> DataFrame:
+    """Adds the skills of the text in `source`."""
+    return df.withColumn(out, skills(F.col(source), dictionary))
 
 
 def skill_words(df: DataFrame, source: str, key: str, dictionary: SkillDictionary | None = None) -> DataFrame:

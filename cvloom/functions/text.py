@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -72,7 +73,12 @@ def capitalised_words(c: Column) -> Column:
 
 def has_word(c: Column, words: list[str]) -> Column:
     """Is one of the blank-separated words of the text, in lower case, among `words`?"""
-    return F.arrays_overlap(words_of(F.lower(c)), F.array(*map(F.lit, words)))
+    return F.arrays_overlap(words_of(F.lower(c)), constant(words, "array<string>"))
+
+
+def constant(value, kind: str) -> Column:
+    """A list or dict as one literal, which the optimizer folds. A literal per item would take the planner far longer."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,7 @@ from cvloom.functions.contact import contact
 from cvloom.functions.profiles import profiles
 from cvloom.functions.sections import section_body, with_sections
 from cvloom.functions.skills import SkillDictionary, with_skills
-from cvloom.functions.text import blank_to_null, clean_text
+from cvloom.functions.text import blank_to_null, clean_text, strip
 from cvloom.operators.entries import education, experience
 
 RECORD = ["name", "email", "phone", "skills", "education", "experience", "linkedin", "github"]
@@ -39,9 +39,14 @@ def resume_records(df: DataFrame, key: str = "resume_id", text: str = "raw_text"
     return d.select(key, *[F.col(own.get(c, c)).alias(c) for c in RECORD], error.alias("error"))
 
 
-def record_json(fields: list[str] = RECORD) -> Column:
-    """The record as JSON with all keys, null ones included."""
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+def record_json(fields: list[str] = RECORD, ascii_only: bool = False) -> Column:
+    """The record as JSON with all keys, null ones included; if wanted, with other than ASCII characters escaped."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": str(ascii_only).lower()})
+
+
+def shown(c: Column, fallback: str = "—") -> Column:
+    """A value for people: without blanks at its ends, or the fallback where there is none."""
+    return F.when(c.isNotNull() & (c.cast("string") != ""), strip(c.cast("string"))).otherwise(F.lit(fallback))
 
 
 def file_size_label(n: Column) -> Column:
@@ -51,11 +56,7 @@ def file_size_label(n: Column) -> Column:
 
 def dashboard(records: DataFrame, key: str = "resume_id") -> DataFrame:
     """What a record shows at a glance: labels for what is missing, and the numbers of skills and entries."""
-
-    def shown(c: str) -> Column:
-        return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Not detected"))
-
-    return records.select(key, *[shown(c).alias(c) for c in ("name", "email", "phone", "linkedin", "github")], *[F.size(c).alias(f"n_{c}") for c in ("skills", "education", "experience")])
+    return records.select(key, *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Not detected")).alias(c) for c in ("name", "email", "phone", "linkedin", "github")], *[F.size(c).alias(f"n_{c}") for c in ("skills", "education", "experience")])
 
 
 def education_cards(records: DataFrame, key: str = "resume_id") -> DataFrame:

@@ -15,7 +15,7 @@ from cvloom.functions.skills import skill_words as words_that_spell_skills
 from cvloom.functions.text import clean_text, lines_of
 from cvloom.functions.vocab import GITHUB_RESERVED
 from cvloom.operators import intervals, shred, units
-from cvloom.operators.entries import education_records, experience_records
+from cvloom.operators.entries import education, education_records, experience, experience_records
 from cvloom.plans import pipeline
 from cvloom.plans.pipeline import prepare
 from cvloom.sources.files import extension, format_error
@@ -217,11 +217,13 @@ def resume_dashboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def education_card_view(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.education_cards(resume_records(spark, d))
+    t = prepare(_resumes(spark, d))
+    return pipeline.education_cards(t.select("resume_id", education(F.col("education_text")).alias("education")))
 
 
 def experience_card_view(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.experience_cards(resume_records(spark, d))
+    t = prepare(_resumes(spark, d))
+    return pipeline.experience_cards(t.select("resume_id", experience(F.col("experience_text")).alias("experience")))
 
 
 def file_size_labels(spark: SparkSession, d: str) -> DataFrame:

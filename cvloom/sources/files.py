@@ -39,16 +39,14 @@ def format_error(path: Column) -> Column:
 # ---- DOCX -------------------------------------------------------------------------------------------
 
 
+_IN_RUN = {_W + "tab": "\t", _W + "cr": "\n", _W + "br": "\n", _W + "noBreakHyphen": "-", _W + "ptab": "\t"}
+
+
 def _paragraph(p) -> str:
-    out = []
-    for x in p.iter():
-        if x.tag == _W + "t":
-            out.append(x.text or "")
-        elif x.tag in (_W + "tab",):
-            out.append("\t")
-        elif x.tag in (_W + "br", _W + "cr"):
-            out.append("\n")
-    return "".join(out).strip()
+    """Text of the runs of a paragraph and of its hyperlinks. What floats beside it (text boxes and their fallbacks) lies
+    deeper inside of a run and does not belong to the body's text."""
+    runs = [r for x in p for r in ([x] if x.tag == _W + "r" else x.iter(_W + "r") if x.tag == _W + "hyperlink" else ())]
+    return "".join((x.text or "") if x.tag == _W + "t" else _IN_RUN.get(x.tag, "") for r in runs for x in r).strip()
 
 
 def docx_text(data: bytes) -> str:
@@ -131,19 +129,20 @@ def decode(path: str, data: bytes | None) -> tuple[str | None, list[str], str |
     try:
         return (pdf_text if ext == "pdf" else docx_text)(data or b""), links, None
     except Exception as e:  # noqa: BLE001 - any damage to a file
-        return None, links, f"Could not read {ext.upper()}: {str(e)[:200]}"
+        return None, links, f"Could not read {ext.upper()}: {e}"
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """(path, raw_text, extra_urls, error) of rows (path, content), batch or stream. Each file is opened once, in the task
+    """(path, raw_text, extra_urls, error) of rows (path, content), batch or stream; an `error` that a row has already stays. Each file is opened once, in the task
     that reads it; a broken or unknown one gives an error and null text, and the job goes on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [decode(p, c) for p, c in zip(b["path"], b["content"])]
+            got = [(None, [], e) if e else decode(p or "", c) for p, c, e in zip(b["path"], b["content"], b["error"].where(b["error"].notna(), None))]
             yield pd.DataFrame({"path": b["path"], "raw_text": [g[0] for g in got], "extra_urls": [g[1] for g in got], "error": [g[2] for g in got]})
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    known = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "content", known.alias("error")).mapInPandas(run, SCHEMA)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,8 +9,8 @@ from cvloom.plans.pipeline import RECORD, record_json
 
 
 def write_json(records: DataFrame, folder: str) -> None:
-    """One JSON object per line with all eight keys, null ones included."""
-    records.select(record_json(RECORD).alias("value")).write.mode("overwrite").text(folder)
+    """One JSON object per line with all eight keys, null ones included, in ASCII; `api.to_json` indents a single record."""
+    records.select(record_json(RECORD, ascii_only=True).alias("value")).write.mode("overwrite").text(folder)
 
 
 def write_parquet(records: DataFrame, folder: str) -> None:

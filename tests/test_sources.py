@@ -4,6 +4,8 @@ import io
 import zipfile
 import zlib
 
+import pytest
+
 from cvloom.sources import files
 from cvloom.sources.sinks import split_errors, write_json
 from cvloom.streaming.stream import document_stream, flat_fields, run_pipeline
@@ -44,6 +46,72 @@ def test_decoders():
         assert (text, links, error) == ("Ada (x)\nLine 2\f\np2", ["HTTP://y.example/z"], None)
 
 
+def test_filters_of_pdf_streams():
+    import base64
+
+    from cvloom.sources import pdf as reader
+
+    raw = b"BT (ab) Tj ET" * 300
+    assert reader._hex(raw.hex().encode() + b">") == raw
+    assert reader._base85(b"<~" + base64.a85encode(raw) + b"~>") == raw
+    assert reader._run_length(bytes([2]) + b"abc" + bytes([255]) + b"x" + bytes([128])) == b"abcxx"
+    # an encoder that mirrors the reader: early change of width, emptied when full
+    table, out, word, bits, n = {bytes([k]): k for k in range(256)}, [], b"", 0, 258
+    codes = [(256, 9)]
+    width = 9
+    for c in raw:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        codes.append((table[word], width))
+        table[word + bytes([c])] = n
+        n += 1
+        # the reader knows an entry one code later
+        width = 9 if n - 1 < 511 else 10 if n - 1 < 1023 else 11 if n - 1 < 2047 else 12
+        word = bytes([c])
+    codes += [(table[word], width), (257, width)]
+    line = "".join(f"{c:0{w}b}" for c, w in codes)
+    packed = int(line + "0" * (-len(line) % 8), 2).to_bytes((len(line) + 7) // 8, "big")
+    assert reader._lzw(packed) == raw
+    assert files.decode("x.pdf", pdf(["text"]).replace(b"/FlateDecode", b"/DCTDecode"))[2] == "Could not read PDF: filter DCTDecode of object 4"
+
+
+def test_deep_page_trees():
+    n = 3_000
+    objs = [b"1 0 obj\n<< /Type /Catalog /Pages 10 0 R >>\nendobj"]
+    objs += [b"%d 0 obj\n<< /Type /Pages /Kids [%d 0 R] >>\nendobj" % (10 + k, 11 + k) for k in range(n)]
+    objs += [b"%d 0 obj\n<< /Type /Page /Contents 5 0 R >>\nendobj" % (10 + n), b"5 0 obj\n<< /Length 14 >>\nstream\nBT (deep) Tj ET\nendstream\nendobj"]
+    assert files.decode("x.pdf", b"%PDF-1.4\n" + b"\n".join(objs))[0] == "deep"
+
+
+def test_text_boxes_are_not_body_text():
+    box = "<w:p><w:r><w:t>body</w:t></w:r><w:r><w:pict><w:p><w:r><w:t>floating</w:t></w:r></w:p></w:pict></w:r><w:hyperlink><w:r><w:t> link</w:t></w:r></w:hyperlink></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{box}</w:body></w:document>")
+    assert files.decode("x.docx", out.getvalue())[0] == "body link"
+
+
+def test_single_documents(spark, tmp_path):
+    import json
+
+    from cvloom import ParserError, ResumeExtractor, api, extract_profiles, extract_resume
+
+    data = docx(["Grâce Hopper", "grace@x.example", "SKILLS", "Python"], links=["https://github.com/grace-h"])
+    (tmp_path / "a.docx").write_bytes(data)
+    records = [extract_resume(str(tmp_path / "a.docx")), extract_resume(tmp_path / "a.docx"), extract_resume(data, "CV.DOCX"), ResumeExtractor().extract(io.BytesIO(data), filename="a.docx"), ResumeExtractor.extract_resume(data, filename="a.docx")]
+    assert all(r == records[0] for r in records) and list(records[0]) == api.RECORD
+    assert (records[0]["name"], records[0]["skills"], records[0]["github"], records[0]["education"]) == ("Grâce Hopper", ["Python"], "https://github.com/grace-h", [])
+    text = api.to_json(records[0])
+    assert text.isascii() and text.startswith('{\n  "name": ') and json.loads(text) == records[0]
+    for source, name, why in ((tmp_path / "no.pdf", None, "File not found"), (data, None, "Could not determine"), (data, "a.txt", "Unsupported file format"), (5, "a.pdf", "Unsupported source type"), (b"no", "a.pdf", "Could not read")):
+        with pytest.raises(ParserError, match=why):
+            extract_resume(source, name)
+    assert extract_profiles("linkedin.com/in/ada-l", ["https://github.com/ada"]) == {"linkedin": "https://linkedin.com/in/ada-l", "github": "https://github.com/ada"}
+    rows = files.decode_files(api.sources_frame(spark, [(data, "x.docx"), (str(tmp_path / "no.pdf"), None)])).collect()
+    assert [(r.raw_text is not None, r.error) for r in rows] == [(True, None), (False, f"File not found: {tmp_path / 'no.pdf'}")]
+
+
 def test_errors_are_rows():
     assert files.decode("a.txt", b"x") == (None, [], "Unsupported file format '.txt'")
     assert files.decode("a.d/noname", b"x") == (None, [], "Could not determine the file format")
