@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cvloom.llm.worker import Shared
+
 #: Folder of the public tokenizers; a parameter of every function that needs one.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how this family of tokenizers cuts a text into words before merging.
@@ -100,20 +102,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(handle) -> Encoder:
-    """The worker's encoder; parsed once per worker and tokenizer."""
-    key = handle.id if hasattr(handle, "id") else id(handle)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder.parse(handle.value)
-    return _ENCODERS[key]
-
-
-def _share(spark: SparkSession, name: str, folder: str):
+def _share(spark: SparkSession, name: str, folder: str) -> Shared:
     """The vocabulary file, read on the driver and broadcast: its size (under 1 MB) does not depend on the data."""
-    return spark.sparkContext.broadcast(read_ranks(f"{folder}/{name}.tiktoken"))
+    return Shared(spark, "encoder", read_ranks(f"{folder}/{name}.tiktoken"), Encoder.parse)
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -125,7 +116,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = _share(df.sparkSession, name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared)
+        enc = shared.get()
         for b in batches:
             flat: list[int] = []
             ends = [0]
@@ -145,7 +136,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = _share(df.sparkSession, name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared)
+        enc = shared.get()
         for b in batches:
             n = [len(enc.encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [id_col, "n_tokens"])

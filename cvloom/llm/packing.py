@@ -7,6 +7,9 @@ plan has for its rank among the texts of its size. Nothing else is collected.
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -17,8 +20,11 @@ from cvloom.llm.bpe import TOKENIZERS, token_counts
 from cvloom.tables import use_checkpoints
 
 CAPACITY = 1024
-#: Nodes that the search may visit per number of containers that it tries, and fillings that it compares at a node.
-NODES, FILLINGS, LOOKS = 20_000, 6, 4_000
+#: Steps of the search in all, of some microseconds each: what it has not found by then is not found. `usage` reports
+#: how far the result may be from the least number of containers.
+STEPS = 5_000_000
+#: Steps back after which a search is begun anew with its branches in another order; grows with every attempt.
+RETURNS = 250
 Pattern = tuple[tuple[int, int], ...]  # (size, how often), largest first
 
 
@@ -60,105 +66,175 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, k) for group in open_.values() for p, k in group.items()]
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], slack: int) -> list[Pattern]:
-    """Undominated ways to fill `room` from what is left, wasting at most `slack`, least waste first.
+class Effort:
+    """Steps of the search in all. Counted, not timed, so that the same sizes always give the same plan."""
 
-    A filling is dominated if another one puts items that are at least as large in place of its items; so larger items are
-    tried first, and a filling with fewer, larger items goes before one of the same sum with more.
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise Exhausted
+
+
+class Exhausted(Exception):
+    """The steps are used up."""
+
+
+def _reachable(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each k a bit set of the sums, up to `room`, that items of the sizes from the k-th on can have."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for s in reversed(sizes):
+        bits, n, block = out[-1], min(counts[s], room // s), 1
+        while n:
+            take = min(block, n)
+            bits |= bits << s * take & mask
+            n, block = n - take, block * 2
+        out.append(bits & mask)
+    return out[::-1]
+
+
+def _filled(total: int, sizes: list[int], counts: dict[int, int], reach: list[int], effort: Effort) -> Iterator[Pattern]:
+    """All ways to make `total` of the items, larger items first. Dead ends are known before they are entered."""
+    if not total:
+        yield ()
+        return
+    stack: list[tuple[int, int, Pattern]] = [(total, 0, ())]
+    while stack:
+        left, k, taken = stack.pop()
+        effort.spend(1)
+        if not left:
+            yield taken
+            continue
+        if not reach[k] >> left & 1:
+            continue
+        s = sizes[k]
+        # the last one pushed is looked at first: as many of the larger size as can be
+        stack.append((left, k + 1, taken))
+        for m in range(1, min(counts[s], left // s) + 1):
+            if reach[k + 1] >> left - m * s & 1:
+                stack.append((left - m * s, k + 1, (*taken, (s, m))))
+
+
+def is_dominated(taken: Pattern, waste: int, sizes: list[int], counts: dict[int, int]) -> bool:
+    """Could a single item that was left out take the place of some that were taken (or of none), without less filling?
+
+    Whatever the rest of a packing does with such an item, it can do with the smaller ones that it sets free, so a filling
+    with such an exchange need not be tried. Exchanges with one item are enough to find every dominated filling.
     """
-    found: list[tuple[int, int, Pattern]] = []
-    looks = 0
-
-    def go(left: int, k: int, taken: list[int]) -> bool:
-        """True when enough was seen."""
-        nonlocal looks
-        looks += 1
-        if looks > LOOKS:
+    sums, single = 1, 0  # bit sets of the sums of any taken items, and of one
+    several = 0
+    for s, m in taken:
+        single |= 1 << s
+        for _ in range(m):
+            several |= (several | sums & ~1) << s
+            sums |= sums << s
+    used = dict(taken)
+    for x in sizes:
+        if counts[x] <= used.get(x, 0):
+            continue
+        low = max(x - waste, 0)
+        window = (1 << x - low + 1) - 1
+        if x <= waste or several >> low & window or single >> low & (window >> 1):
             return True
-        # an item that fills the rest exactly dominates every other way to go on
-        if left and left in counts and counts[left] > taken.count(left):
-            found.append((0, len(taken) + 1, _pattern([*taken, left])))
-            return len([1 for w, _, _ in found if w == 0]) >= FILLINGS
-        more = False
-        for j in range(k, len(sizes)):
-            s = sizes[j]
-            if s > left or counts[s] <= taken.count(s):
-                continue
-            more = True
-            taken.append(s)
-            if go(left - s, j, taken):
-                return True
-            taken.pop()
-        if not more and left <= slack:
-            found.append((left, len(taken), _pattern(taken)))
-        return False
-
-    go(room, 0, [])
-    out: dict[Pattern, None] = {}
-    for _, _, p in sorted(found, key=lambda x: (x[0], x[1], [-s for s, _ in x[2]])):
-        out.setdefault(p)
-    return list(out)[:FILLINGS]
-
-
-def _pattern(items: list[int]) -> Pattern:
-    out: dict[int, int] = {}
-    for s in sorted(items, reverse=True):
-        out[s] = out.get(s, 0) + 1
-    return tuple(out.items())
-
-
-def complete_bins(counts: dict[int, int], capacity: int, bins: int) -> list[tuple[Pattern, int]] | None:
-    """Bin completion: a packing into at most `bins` containers, or None if the search ends without one.
-
-    At each node the largest item left opens a container, and its undominated fillings are the branches. Equal items are
-    interchangeable, so a filling is applied as often as the counts allow at once. A branch is cut when the waste so far
-    exceeds what `bins` containers can waste at all.
+    return False
+
+
+def fillings(room: int, counts: dict[int, int], sizes: list[int], slack: int, effort: Effort) -> Iterator[tuple[Pattern, int]]:
+    """The undominated ways to fill `room` from what is left, wasting at most `slack`, least waste first, one after the
+    other as they are asked for: (filling, waste)."""
+    effort.spend(100 + len(sizes) // 4)
+    reach = _reachable(sizes, counts, room)
+    for waste in range(min(slack, room) + 1):
+        if reach[0] >> room - waste & 1:
+            for p in _filled(room - waste, sizes, counts, reach, effort):
+                effort.spend(2 + len(sizes) // 8)
+                if not is_dominated(p, waste, sizes, counts):
+                    yield p, waste
+
+
+def _ways(state: dict[int, int], capacity: int) -> np.ndarray:
+    """About how many ways there are to fill up a container around an item of each size exactly, with up to three others."""
+    c = np.zeros(4 * capacity)  # room for the products, so that they do not wrap around
+    for s, n in state.items():
+        c[s] = n
+    f = np.fft.rfft(c)
+    ways = np.fft.irfft(f + f**2 / 2 + f**3 / 6, n=4 * capacity)[: capacity + 1]
+    return np.round(ways, 3)[::-1]
+
+
+def complete_bins(counts: dict[int, int], capacity: int, bins: int, effort: Effort, returns: int, shuffle: random.Random | None = None) -> tuple[list[tuple[Pattern, int]] | None, bool]:
+    """Bin completion: a packing into at most `bins` containers or None, and whether the search saw everything.
+
+    At each node the largest item left opens a container, and its undominated fillings are the branches; where no waste is
+    left to give, it is the item with the fewest fillings instead. Equal items are interchangeable, so a filling is applied
+    as often as the counts allow at once, and fewer times as further branches. A branch is cut when the waste so far exceeds
+    what `bins` containers can waste at all. The search gives up after `returns` steps back; `shuffle` changes the order of the
+    first branches of a node.
     """
-    total = sum(s * n for s, n in counts.items())
-    slack = bins * capacity - total
+    slack = bins * capacity - sum(s * n for s, n in counts.items())
     if slack < 0:
-        return None
-    nodes = 0
-    state = dict(counts)
-    plan: list[tuple[Pattern, int]] = []
-    # depth-first, with an explicit stack of branches: (plan length, waste, filling, repeats)
-    stack: list[tuple[int, int, Pattern, int]] = []
-
-    def branches(waste: int) -> None:
+        return None, True
+    state, plan = dict(counts), []
+
+    def branches(spare: int) -> Iterator[tuple[Pattern, int, int]]:
         sizes = sorted((s for s, n in state.items() if n), reverse=True)
-        top = sizes[0]
+        top, ways = sizes[0], None
+        if not spare:
+            ways = _ways(state, capacity)
+            top = min(sizes, key=lambda s: (ways[s], -s))
         state[top] -= 1
-        got = fillings(capacity - top, state, sizes, slack - waste)
+        here = dict(state)
         state[top] += 1
-        for p in reversed(got):
+        found = fillings(capacity - top, here, [s for s in sizes if here[s]], spare, effort)
+        if ways is not None:
+            # what is hard to place goes first
+            head = sorted(islice(found, 64), key=lambda f: min((float(ways[s]) for s, _ in f[0]), default=0.0) * (shuffle.uniform(0.4, 2.5) if shuffle else 1))
+            found = chain(head, found)
+        elif shuffle:
+            found = chain(sorted(islice(found, 8), key=lambda f: (f[1] + 1) * shuffle.uniform(0.5, 2)), found)
+        again = []
+        for p, lost in found:
             full = dict(p)
             full[top] = full.get(top, 0) + 1
             q = tuple(sorted(full.items(), reverse=True))
-            lost = capacity - sum(s * m for s, m in q)
             times = min(state[s] // m for s, m in q)
             if lost:
-                times = min(times, (slack - waste) // lost)
+                times = min(times, spare // lost)
             if times > 0:
-                stack.append((len(plan), waste, q, times))
-
-    if not total:
-        return []
-    branches(0)
-    while stack and nodes < NODES:
-        nodes += 1
-        depth, waste, q, times = stack.pop()
-        while len(plan) > depth:
-            p, k = plan.pop()
-            for s, m in p:
-                state[s] += m * k
+                yield q, times, lost
+                if times > 1:
+                    again.append((q, times, lost))
+        for q, times, lost in again:
+            for t in range(times - 1, 0, -1):
+                yield q, t, lost
+
+    if not any(state.values()):
+        return [], True
+    # one frame per applied filling: its branches, and the waste left
+    stack = [(branches(slack), slack)]
+    while stack:
+        rest, spare = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            returns -= 1
+            if plan:
+                q, times = plan.pop()
+                for s, m in q:
+                    state[s] += m * times
+            if returns < 0 and stack:
+                return None, False
+            continue
+        q, times, lost = step
         for s, m in q:
             state[s] -= m * times
         plan.append((q, times))
-        waste += times * (capacity - sum(s * m for s, m in q))
         if not any(state.values()):
-            return plan
-        branches(waste)
-    return None
+            return plan, False
+        stack.append((branches(spare - lost * times), spare - lost * times))
+    return None, True
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -179,23 +255,34 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Pattern, int]], int]:
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[Pattern, int]], int]:
     """The fillings to use and how often, and a number of containers that no packing can go below.
 
-    Best fit is the incumbent. The search tries the bound and the two numbers above it, and then bisects up to the
-    incumbent; what it completes is the new incumbent, so it ends when the number just below the incumbent has failed.
+    Best fit is the incumbent. The numbers of containers from the bound up to the incumbent are searched, the bound first and
+    then by bisection; what is completed is the new incumbent. A search that steps back too often is begun again later with
+    its branches in another order and more patience, so in the end every one sees everything. All ends when the incumbent
+    meets the bound, which a search that saw everything raises, or when the `steps` are used up.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     bound = lower_bound(counts, capacity)
     plan = best_fit(counts, capacity)
-    used, low = sum(k for _, k in plan), bound
-    while low < used:
-        bins = low if low < bound + 3 else (low + used - 1) // 2
-        better = complete_bins(counts, capacity, bins)
-        if better is None:
-            low = bins + 1
-        else:
-            plan, used = better, sum(k for _, k in better)
+    used, effort, attempt = sum(k for _, k in plan), Effort(steps), 0
+    try:
+        while bound < used:
+            low = bound
+            while low < used:
+                # the bound itself first, since it ends all; then halfway to the incumbent
+                bins = low if low == bound else (low + used - 1) // 2
+                better, saw_all = complete_bins(counts, capacity, bins, effort, RETURNS * (1 + attempt // 50), random.Random(attempt) if attempt else None)
+                if better is not None:
+                    plan, used = better, sum(k for _, k in better)
+                else:
+                    low = bins + 1
+                    if saw_all:
+                        bound = max(bound, low)
+            attempt += 1
+    except Exhausted:
+        pass
     return plan, bound
 
 
@@ -265,7 +352,10 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, folder: str =
 
 
 def usage(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers used, tokens, the least possible number of containers, and the share of unused room."""
+    """One row: containers used, tokens, the number of containers that no packing can go below (counting waste that the sizes
+    force), how many more are used, and the share of unused room. The sizes collected are `capacity` at most."""
+    counts = {r.tokens: r.n for r in packed.where("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     filled = packed.where("tokens > 0").groupBy("container_id").agg(F.sum("tokens").alias("t"))
     one = filled.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.coalesce(F.max("t"), F.lit(0)).alias("fullest"))
-    return one.withColumns({"least": F.ceil(F.col("tokens") / capacity), "unused": F.when(F.col("containers") > 0, F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6))})
+    one = one.withColumn("least", F.lit(lower_bound(counts, capacity) if counts else 0).cast("bigint"))
+    return one.withColumns({"above_least": F.col("containers") - F.col("least"), "unused": F.when(F.col("containers") > 0, F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6))})

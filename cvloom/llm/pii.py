@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cvloom.llm.canonical import transducer
 from cvloom.llm.pii_table import labelled
+from cvloom.llm.worker import Shared
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in ("B", "I")))
@@ -391,7 +392,6 @@ def trained() -> Field:
 
 # ---- Spark ------------------------------------------------------------------------------------------
 
-_FINDERS: dict[int, Finder] = {}
 _ITEMS = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string())]))
 
 
@@ -402,16 +402,14 @@ def line_items(experience: DataFrame) -> DataFrame:
     through Python once, in Arrow batches; the field's weights are broadcast (their size depends on the labelled table
     only). Null arrays and null lines give no row; empty and blank lines give a row without items; repeated rows count.
     """
-    shared = experience.sparkSession.sparkContext.broadcast(trained().state())
+    shared = Shared(experience.sparkSession, "finder", trained().state(), lambda state: Finder(Field(*state)))
     lines = experience.select("exp_id", F.posexplode("description").alias("p", "line")).where("line is not null").select("exp_id", (F.col("p") + 1).alias("line_no"), "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = getattr(shared, "id", id(shared))
-        if key not in _FINDERS:
-            _FINDERS[key] = Finder(Field(*shared.value))
+        finder = shared.get()
         for b in batches:
             text = b.column(2).to_pylist()
-            found = _FINDERS[key].find(text)
+            found = finder.find(text)
             items = pa.array([[{"start_pos": s + 1, "end_pos": e + 1, "kind": k} for s, e, k in x] for x in found], _ITEMS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), items, pa.array([redact(t, x) for t, x in zip(text, found)], pa.string())], ["exp_id", "line_no", "line", "items", "redacted"])
 

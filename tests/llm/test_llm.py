@@ -163,6 +163,18 @@ def test_array_and_heap_agree(encoder):
         assert encoder.short(w) == encoder.long(w)
 
 
+def test_two_tokenizers_on_the_same_workers(spark, tmp_path):
+    """A worker that has served one tokenizer must not answer for the next with it."""
+    with open(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken") as f:
+        lines = f.read().splitlines()
+    (tmp_path / "plain.tiktoken").write_text("\n".join(lines[:256]) + "\n")
+    df = spark.createDataFrame([(1, "the house")], "doc_id bigint, text string").repartition(1)
+    lengths = []
+    for _ in range(6):
+        lengths.append((len(bpe.encode_texts(df).first().ids), len(bpe.encode_texts(df, name="plain", folder=str(tmp_path)).first().ids)))
+    assert set(lengths) == {(2, 9)}
+
+
 def test_encode_on_spark(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, "", "x"), (3, None, "x"), (None, "a b", "x"), (1, "a b", "x")], "doc_id bigint, text string, ids string")
     got = sorted(((r.doc_id or 0, list(r.ids)) for r in bpe.encode_texts(df).collect()), key=str)
@@ -215,6 +227,38 @@ def test_small_plans_are_best():
         assert sum(k for _, k in plan) == least(items, 20)
 
 
+def test_triplets_are_packed_exactly():
+    """Three items to a container without any room left: the least number is known by construction."""
+    for seed in (1, 2, 3):
+        rng, items = random.Random(seed), []
+        for _ in range(60):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1024 - a) // 2)
+            items += [a, b, 1024 - a - b]
+        plan, bound = packing.plan_packing(dict(Counter(items)))
+        assert (sum(k for _, k in plan), bound) == (60, 60)
+
+
+def test_fillings_are_all_the_undominated_ones():
+    """Against all sub-multisets, with dominance tested by exchanging any taken items for any one that was left out."""
+    import itertools
+
+    rng = random.Random(4)
+    for _ in range(60):
+        items = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 7))), reverse=True)
+        room, counts = rng.randint(1, 20), Counter(items)
+        sets = {c for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+
+        def beaten(c):
+            waste, left = room - sum(c), counts - Counter(c)
+            parts = [p for n in range(len(c) + 1) for p in itertools.combinations(c, n)]
+            return any(sum(p) <= x <= sum(p) + waste and p != (x,) for x in left for p in parts)
+
+        got = [f for f in packing.fillings(room, dict(counts), sorted(counts, reverse=True), room, packing.Effort(10**6))]
+        assert [w for _, w in got] == sorted(w for _, w in got)
+        assert sorted(tuple(s for s, m in f for _ in range(m)) for f, _ in got) == sorted(c for c in sets if not beaten(c))
+
+
 def test_counts_far_above_the_bound_are_searched():
     """Sizes that force waste, so that neither the sum nor best fit is near the least number."""
     forced = {1000: 1000, 522: 120, 276: 120, 266: 120, 236: 240}
