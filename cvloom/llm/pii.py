@@ -25,7 +25,9 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in ("B", "I")))
 L = len(LABELS)
 #: Training: passes over the table, lines per step, step size, and the share by which weights shrink per pass.
-PASSES, BATCH, RATE, SHRINK = 8, 64, 0.3, 1e-4
+PASSES, BATCH, RATE, SHRINK = 5, 64, 0.3, 1e-4
+#: What a worker remembers: labels of lines, and weights of contexts and of their parts; emptied when full.
+LINES_KEPT, CONTEXTS_KEPT, PARTS_KEPT = 200_000, 400_000, 600_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
@@ -93,7 +95,7 @@ class Shapes:
                 # separators at the end belong to the sentence
                 while b > k + 1 and sym[b - 1][1] in ".-(+":
                     b -= 1
-                shape = "".join((" " if i > k and not sym[i][2] else "") + sym[i][1] for i in range(k, b))[:40]
+                shape = "".join((" " if i > k and not sym[i][2] else "") + sym[i][1] for i in range(k, b))
                 before, after, before2 = padded[k + 2], padded[b + 3], padded[k + 1]
                 for i in range(k, b):
                     if runs[i] is None:
@@ -103,7 +105,7 @@ class Shapes:
         a = 0
         for k in range(1, n + 1):
             if k == n or not sym[k][2]:
-                shape = "".join(sym[j][1][0] if sym[j][1][0] != "d" else "9" for j in range(a, k))[:16]
+                shape = "".join(sym[j][1][0] if sym[j][1][0] != "d" else "9" for j in range(a, k))
                 glued += [(shape, min(j - a, 3)) for j in range(a, k)]
                 a = k
         mail = [k for k in range(n) if sym[k][1] == "@" or sym[k][0] == "at" and (sym[k][1] == "XX" or padded[k + 2][1] in "([" and padded[k + 4][1] in ")]")]
@@ -149,6 +151,7 @@ class Field:
         self.shapes, self.index, self.weights, self.moves, self.start = Shapes(known), index, weights, moves, start
         self.seen: dict[tuple, np.ndarray] = {}
         self.parts: dict[tuple, np.ndarray] = {}
+        self.lines: dict[tuple, bytes] = {}
         self.nothing = np.zeros(L, dtype=np.float32)
 
     @classmethod
@@ -240,7 +243,7 @@ class Field:
     def _part(self, part: tuple) -> np.ndarray:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) > 150_000:
+            if len(self.parts) > PARTS_KEPT:
                 self.parts.clear()
             ids = [i for f in self.shapes.features(part) if (i := self.index.get(f)) is not None]
             got = self.parts[part] = self.weights[ids].sum(0) if ids else self.nothing
@@ -249,7 +252,7 @@ class Field:
     def _emission(self, context: tuple) -> np.ndarray:
         got = self.seen.get(context)
         if got is None:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > CONTEXTS_KEPT:
                 self.seen.clear()
             a, b, c, d, e, f, g = map(self._part, self.shapes.groups(context))
             got = self.seen[context] = a + b + c + d + e + f + g
@@ -258,8 +261,10 @@ class Field:
     def decode(self, symbols: list[tuple]) -> list[bytes]:
         """Best labels of each line of symbols, by Viterbi over batches of lines of like length. A line's labels depend on
         its symbols alone, so equal lines are decoded once."""
-        memo: dict[tuple, bytes] = {}
-        todo = sorted((s for s in dict.fromkeys(symbols) if s), key=len)
+        memo = self.lines
+        if len(memo) > LINES_KEPT:
+            memo.clear()
+        todo = sorted((s for s in dict.fromkeys(symbols) if s and s not in memo), key=len)
         for at in range(0, len(todo), 256):
             part = todo[at : at + 256]
             B, T = len(part), len(part[-1])
@@ -289,7 +294,6 @@ class Field:
 # ---- the exact check ----------------------------------------------------------------------------------
 
 _MAIL = re.compile(r"[\w.%+\-]+\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[\w\-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\bdot\b)\s?[\w\-]+)+", re.I)
-_STREET = re.compile(r"\b(?:street|str|st|road|rd|lane|ln|avenue|ave|close|court|ct|drive|dr|row|way|boulevard|blvd|square|sq|terrace|crescent|place|pl|walk|parade|quay|hill|gardens?|nagar|marg)\b", re.I)
 _SMALL = frozenset("and or of the for in at on to a an".split())
 
 
@@ -303,9 +307,9 @@ def _fits(kind: str, item: str) -> bool:
     if kind == "id_number":
         return digits >= 4 and len(item) >= 6
     if kind == "address":
-        return digits > 0 and _STREET.search(item) is not None
+        return digits > 0 and re.search(r"[^\W\d_]{3,}", item) is not None
     words = re.findall(r"[^\W\d_]+", item)
-    return digits == 0 and any(len(w) > 1 for w in words) and words[-1].lower() not in _SMALL
+    return digits == 0 and words[0][0].isupper() and words[-1][0].isupper() and any(len(w) > 1 for w in words) and words[-1].lower() not in _SMALL
 
 
 _TITLE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|shri|smt|sri|sir|mx|herr|frau)\b\.?\s*)$", re.I)

@@ -1,245 +1,408 @@
 """The labelled table that the personal-information model is trained on.
 
-Every line is invented. `{kind:filler}` marks an item; fillers are drawn by rule, so that the model learns the shape of
-items and the words around them and not particular names or numbers. Lines without marks, and fillers in `<...>`, show
-what looks similar but is no personal information.
+Lines are put together by a grammar: a beginning, and one or two clauses that bring an item or something that looks like one.
+All wording is written for this table. `{kind:filler}` marks an item; fillers are drawn by rule, so that the model learns the
+shape of items and the words around them and not particular names or numbers. Fillers in `<...>` are no personal information.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
-#: The words around the items.
-LINES = """
-Reporting line: {person:name}, reachable at {email:mail}
-Reported to {person:name} for three years
-Worked with {person:name} on the rollout, reporting to {person:name}
-Prepared the audit file, reporting to {title} {person:name}
-Cleaned the ledger in <tool>, reporting to {title} {person:surname}
-Improved the checkout flow for {person:name}
-Improved the checkout flow for {title} {person:surname}
-Improved the checkout flow for {person:listed}
-Improved the checkout flow for the sales department
-Wrote the handbook for <n> regional offices
-Moved the archive to <tool> alongside {person:name}
-Moved the archive to <tool> alongside {title} {person:name}
-Moved the archive to <tool> and <tool>, raising throughput by <n>%
-Rebuilt the parser on top of <tool> within <n> weeks
-Rebuilt the parser within <n> weeks with {person:name}
-Rebuilt the parser, saving <n> hours per month with {person:name}
-Rebuilt the parser with <tool> and <tool>
-Rebuilt the parser with <n>% fewer defects
-Rebuilt the parser with a focus on speed, serving <big> requests a day
-Checked the forms – reviewed by {person:name}
-Checked the forms – reviewed by {title} {person:name} / {phone:phone}
-Checked the forms; sponsor {person:name}
-Checked the forms; sponsor {title} {person:surname}
-Checked the forms; sponsor {person:listed}
-Checked the forms ({email:mail}), also {person:name}
-Checked the forms, mail {email:mail}
-Checked the forms; see {email:mail}
-Checked the forms; see {email:mail})
-Checked the forms – {email:mail}
-Checked the forms – {email:mail})
-Checked the forms ({email:mail}
-Checked the forms for <n> teams ({phone:phone})
-Checked the forms ({phone:phone}
-Checked the forms – {phone:phone})
-Checked the forms, hotline {phone:phone}
-Checked the forms, hotline {phone:phone})
-Checked the forms, ph {phone:phone}
-Checked the forms across <n> teams, ph {phone:phone})
-Checked the forms at {address:address}
-Checked the forms, based at {address:address}
-Checked the forms – site: {address:address}
-Checked the forms at no extra cost
-Checked the forms at the client site in <city>
-Head of the unit: {person:name}
+#: Beginnings, mostly work as people describe it.
+BEGINNINGS = """
+Kept the minutes of the steering group
+Planned the winter timetable
+Cut waiting times at the counter by <n>%
+Sorted incoming post for <n> departments
+Coached junior analysts
+Translated user guides into <n> languages
+Wired test benches and <tool> loggers
+Ran the evening shift at the plant in <city>
+Balanced petty cash every Friday
+Drew up staffing plans in <tool>
+Answered supplier queries within <n> hours
+Wrote unit tests for the billing engine
+Looked after the seed library
+Tidied <big> customer records
+Negotiated freight rates, saving <n>% a year
+Prepared tender papers
+Checked the cold chain across <n> depots
+Moved old spreadsheets to <tool> and <tool>
+Led weekly stand-ups of <n> people
+Built dashboards with <tool>
+Taught evening classes in <tool>
+Opened the shop at dawn
+Managed returns and refunds
+Handled complaints from patients
+Reviewed pull requests
+Shipped <n> releases in <year>
+Repaired looms and winding machines
+Counted stock twice a month
+Wrote grant reports
+Sampled river water near <city>
+Surveyed roofs by drone
+Fixed bugs in the tax form generator
+Organised the summer fair
+Drove the school bus
+Set the type for the parish paper
+Introduced code freezes before holidays
+Calibrated scales and sensors
+Rewrote the onboarding guide
+Volunteered at the food bank
+Edited podcasts about gardening
+Served as fire warden
+Kept bees on the office roof
+Digitised <big> index cards
+Ordered spare filters
+Welcomed visitors at reception
+""".strip().splitlines()
+
+#: Clauses with an item, to follow a beginning.
+CLAUSES = """
+ with {person:name}
+ with {title} {person:surname}
+ with {person:name} and {person:name}
+ together with {person:name}
+ alongside {title} {person:name}
+ alongside {person:name}
+ under {person:name}
+ under {title} {person:surname} in <city>
+ under the eye of {person:name}
+ for {person:name}
+ for {title} {person:surname}
+ for {person:name} and <n> others
+ on behalf of {title} {person:surname}
+, supervised by {person:name}
+, approved by {title} {person:name}
+, signed off by {person:name}
+ - checked by {person:name}
+ – reviewed by {title} {person:surname}
+, reporting to {person:name}
+, reporting to {title} {person:surname}
+ and reported to {person:name}
+, as deputy to {person:name}
+, standing in for {person:name}, who was ill
+; thanks to {person:name}
+; also {person:name}
+; also {title} {person:surname}
+; manager {person:name}
+; boss: {title} {person:name}
+; patron {person:name}
+; chair {person:name}
+; mentor {person:listed}
+; {person:name}
+; {title} {person:surname}
+, {person:name}
+ / {person:name}
+ ({person:name})
+, mostly by {person:name}
+ until {person:name} took over
+ next to {person:name}, our chair
+, helped by {person:name}, {person:name} and {person:name}
+; see {email:mail}
+; {email:mail}
+, {email:mail}
+ – {email:mail}
+ / {email:mail}
+ ({email:mail})
+ ({email:mail}
+ <{email:mail}>
+; mail {email:mail} for details
+, reachable at {email:mail}
+, with copies to {email:mail}
+ via {email:mail} or {email:mail}
+ from {email:mail}
+; write to {email:mail}.
+; phone {phone:phone}
+; {phone:phone}
+, {phone:phone}
+ – {phone:phone}
+ / {phone:phone}
+ ({phone:phone})
+ ({phone:phone}
+, tel. {phone:phone}
+, ph. {phone:phone}
+ on {phone:phone}
+ under {phone:phone} day and night
+; hotline {phone:phone}
+; mobile {phone:phone} or {phone:phone}
+; fax {phone:phone}, second floor
+ (call {phone:phone})
+; ring {phone:phone} first
+ at {address:address}
+ at {address:address} for <n> months
+; address {address:address}
+; office: {address:address}
+, from {address:address}
+ – {address:address}
+ ({address:address})
+, based at {address:address}, close to the station
+ out of {address:address}
+ near {address:address}
+ and moved to {address:address}
+, then at {address:address}; {phone:phone}
+ ({idlabel} {id_number:id})
+ ({idlabel}: {id_number:id})
+, {idlabel} {id_number:id}
+; {idlabel} {id_number:id} was shown
+; {idlabel} #{id_number:id}
+; {idlabel}={id_number:id}
+ under {idlabel} {id_number:id}
+ as holder of {idlabel} {id_number:id}
+; {id_number:id} ({idlabel})
+; gave {id_number:id} as {idlabel}
+; {id_number:id} served as proof of who I am
+; bank account opened on {id_number:lettered}
+; identified by {id_number:lettered}
+""".strip("\n").splitlines()
+
+#: Whole lines with items.
+WHOLE = """
+{person:name} was my first supervisor
+{person:name} and {person:name} ran the office
+{title} {person:surname} chaired the panel
+{title} {person:name} examined the thesis
 Supervisor: {person:name}
-Referee: {title} {person:name}
-Referee – {person:name}, finance
-Referee – {title} {person:surname}, finance
-Line manager {person:name} will confirm
-Line manager ({phone:phone}) will confirm
-Mentored by {person:name} during the first year
-Mentor: {title} {person:surname}
-Approval was signed by {person:name}
-Handed over to {person:name} before the merger
-Handover was signed off by {title} {person:name}
-Shared a desk with {person:name} until spring
-Shared an office with {person:name} until the move
-Drafted minutes on behalf of {person:name}
-Drafted letters on behalf of {title} {person:surname}
-Kept the calendar of our director, {person:name}, for <n> months
-Kept the diary of the manager, {title} {person:surname}, for a year
-Sworn in by {person:name} as first aider
-Prepared slides for {person:name}; others spoke in <city>
-Prepared slides for {title} {person:surname}; others spoke
-Weekly calls with {person:name}, head of sales
-Weekly reviews with {title} {person:surname}, head of delivery
-Took over the accounts of {person:name}
-Took over the desk of {person:listed}
-Ran pair sessions, mostly together with {person:name}
-Assistant to {person:name} and {person:name}
-Interviewed by {person:name} ({email:mail})
-Trained {person:name} and <n> others
-{person:name} was my supervisor in <city>
-{title} {person:surname} led the review board
-Team lead {person:name}, extension <n>
-Contact: {person:name}, {phone:phone}
+Superior: {title} {person:surname}
+Manager {person:name} can vouch for this
+Manager ({phone:phone}) can vouch for this
+Reference: {person:name}, head of logistics
+Reference: {title} {person:surname} / {email:mail}
+Reference – {person:name}, purchasing
+Reference – {person:listed}, purchasing
+As {person:name} put it at the farewell, waste went down
+As {title} {person:surname} put it at the farewell, waste went down, {email:mail}
+As {person:listed} put it at the farewell, waste went down
+Referees: {person:name} and {title} {person:name}
+Met {person:name} and {person:name} each week
+Deputy of {person:name} and {person:name}
+Assistant of {title} {person:surname}, later of {person:name}
+Secretary to {person:name}
+Mentor {person:name}, then {person:name}
+Trained by {person:name} for <n> months
+Hired by {person:name} ({email:mail})
+Taught {person:name} and <n> more apprentices
+Team of {person:name}, room <n>
+Took the post of {person:listed} in <year>
+Looked after the diary of the director, {person:name}, for a year
+Kept house for the consul, {title} {person:surname}, in <city>
+Sworn to secrecy by {person:name} as clerk
+Made charts for {person:name}; others gave the talk in <city>
+Calls with {person:name}, head of audit
+Contact {person:name}, {phone:phone}
 Contact: {email:mail}, {phone:phone}
-Contact point for vendors: {email:mail}
-Contact point for vendors: {phone:phone}
-Write to mailto:{email:mail} for samples
-Write to <{email:mail}> with questions
-Customers mailed <{email:mail}> with complaints
-Owner of the list {email:mail}
-Owner of the alias {email:mail} or {email:mail}
-Ran the shared inbox ({email:mail}) for support
-References on request from {email:mail}
-References on request from {email:mail} or {person:name}
-Bounced mail from {email:mail} led to a new filter
-Bounced mail from {email:mail} led to a new filter; also {person:name}
-Escalations went to {email:mail} within an hour
-Escalations went to {email:mail} within an hour / {phone:phone}
-Team lead's address {email:mail}, copied on every report
-Team lead's address {email:mail}, copied on every report, {email:mail}
-Feedback: {email:mail} (answered within <n> h)
-cc {email:mail} on all incidents
-{email:mail} was the release alias I owned
-Questions go to {email:mail}; {person:name}
-Staffed the help desk at {phone:phone} on weekends
-Staffed the help desk at {phone:phone} on weekends, {email:mail}
-Reachable under tel. {phone:phone} during audits
-Reachable under tel. {phone:phone} during audits or {email:mail}
-Set up hotline {phone:phone}; answered within a minute
-On-call line {phone:phone} for the night shift
-On-call line {phone:phone} for the night shift; {person:name}
-Call {phone:phone} for a reference
-Dialled {phone:phone} each morning to open the bridge
-WhatsApp {phone:phone} for delivery slots
-Fax {phone:phone}, floor <n>
-Fax {phone:phone}, room <n>
-Printed {phone:phone} on all flyers
-Referee's mobile: {phone:phone}
-Referee's mobile: {phone:phone} / {email:mail}
-Line manager ({phone:phone}) will confirm; {person:name}
+Contact for partners: {email:mail}
+Contact for partners: {phone:phone}
+E-mail: {email:mail}
+Email {email:mail} / Tel {phone:phone}
+Mails to mailto:{email:mail} were mine to answer
+Mails sent to <{email:mail}> were mine to answer
+{email:mail} was my list
+{email:mail} reaches me
+Copy {email:mail} on everything
+Questions: {email:mail}; {person:name}
+Complaints went from {email:mail} to {email:mail}
+Looked after {email:mail} and {email:mail} (answers within <n> h)
+The desk's address {email:mail}, known to all clients
+Tel: {phone:phone}
 Phone: {phone:phone}
-Mobile {phone:phone} or {phone:phone}
-Worked from the home office at {address:address}
-Lived at {address:address} during the posting
-Lived at {address:address} during the posting, {phone:phone}
-Lived at {address:address} during the posting, {email:mail}
-Relocated to {address:address} for the assignment
-Parcels went to {address:address}, care of the porter
-Picked up stock at {address:address} before opening
-Picked up stock at {address:address} before opening; {phone:phone}
-Delivered samples to {address:address} each Friday
-Delivered samples to {address:address} each Friday; {email:mail}
-Registered office ({address:address}) was my duty station
-Correspondence address: {address:address}
-Home address: {address:address}
-Home visits, usually {address:address}
-Opened a branch next to my flat, {address:address}, in spring
-Moved the depot to {address:address} last year
-Cleared background check ({idlabel} {id_number:id})
-Cleared background check ({idlabel} {id_number:id}), {person:name}
-Registered as contractor, {idlabel} {id_number:id}, for two years
-Registered as contractor, {idlabel} {id_number:id}, for two years; also {person:name}
-Visa file listed {idlabel} #{id_number:id}
-Visa file listed {idlabel} {id_number:id}
-Payroll record under {idlabel} {id_number:id}
-Site access granted against {idlabel} {id_number:id} in week one
-Insurance card shows {id_number:id} as {idlabel}
-Background file: {id_number:id} ({idlabel}), verified
-KYC done, {idlabel}={id_number:id}
-Submitted {id_number:id} as proof of identity
-Submitted {id_number:id} as proof of identity – {email:mail}
-Opened the salary account with {id_number:id}
-Opened the salary account with {id_number:id} / {phone:phone}
+Mobile {phone:phone}; {email:mail}
+Cell {phone:phone}
+Ring {phone:phone} for a recommendation
+Call {phone:phone} or {phone:phone}
+Rang {phone:phone} at each change of shift
+Text {phone:phone} for slots
+Sat at the crisis line {phone:phone} at weekends
+Emergency line {phone:phone} for the late team; {person:name}
+Her number: {phone:phone}
+Reached at {phone:plain_phone} every evening to lock the doors
+Painted {phone:plain_phone} on both vans
+Typed {phone:plain_phone} a thousand times
+Signal {phone:plain_phone} for parcels
+The chief's cell: {phone:phone}
+Posters with {phone:phone} went up everywhere
+Fax {phone:phone}, hall <n>
+Lives at {address:address}
+{address:address}
+{address:address} is where I stay
+Advised {person:name} in planning matters
+Followed {person:name} in running the shop
+Lived in {address:address} while abroad
+Home: {address:address}
+Postal address: {address:address}
+Address: {address:address}
+Letters to {address:address}, care of the landlord
+Fetched goods from {address:address} before noon; {phone:phone}
+Brought meals to {address:address} on Sundays
+Head office ({address:address}) was my place of work
+Started a shop beside my house, {address:address}, in May
+Put the store at {address:address} in order
+Ran a practice at {address:address} / {phone:phone}
+House calls, for instance {address:address}
 {idlabel}: {id_number:id}
-{idlabel} {id_number:id}, issued in <city>
-Identity shown by {idlabel} {id_number:id} at the gate
-Scored <ssnlike> on the internal parts index
-Scored <ssnlike> on the spare parts list
-Kept spare part <passlike> in stock
-Kept spare part <passlike> on the shelf
-Processed lot <threefour> without a recall
-Processed lot <threefour> without a recall – {email:mail}
-Balanced ledger <threefour> every quarter
-Balanced ledger <threefour> every quarter; {person:name}
-Rotated staff badges EMP <six> to EMP <six>
-Supplied <n> units under order <order> to retail
-Supplied <n> units under order <order> to retail, {phone:phone}
-Closed ticket OPS-<five> and <n> follow-ups
-Closed ticket <abc>-<five> for the vendor
-Posted build <build> to the @ops-team channel
-Posted build <build> to the @qa-desk channel – {email:mail}
-Released version <version> of the scheduler
-Released version <version> of the scheduler – {email:mail}
-Joined the user@scale reading circle
-Joined the talk@lunch reading circle
-Logged sensor id <sixsix> every <n> s
-Labelled SKU <sku> and <n> others
-Archived folders <folder> to <folder>
-Archived folders <folder> to <folder>; {person:name}
-Filed form 16A for <n> contractors
-Introduced Blue Heron scheduler on port <four>
-Introduced Red Otter planner on port <four>
-Moved <n> servers from rack <n> to Hall <n>, <city>
-Called notify() <six> times a day in load tests
-Served <commas> page views in <year>-<year>
-Handled a budget of Rs <seven>
-Handled a budget of EUR <commas>
-Won Employee of the Quarter in <year>
-Won Team of the Year in <year>
-Led Project Silver Falcon to completion
-Led Project Iron Lotus to completion
-Catered the opening of the <given> Ferry Terminal in <city>
-Catered the opening of the <given> Harbor Museum in <city>
-Managed the <street> campus refit in <city>
-Managed the <street> campus refit in <city>; {person:name}
-Surveyed <street> and <street> for <n> vendors
-Installed <n> street lights along <street>
-Installed <n> street lights along <street>, {phone:phone}
-Sold <n> <given> Classic ovens and <n> spare doors
-Sold <n> <given> Deluxe chairs and <n> spare legs
-Negotiated with <surname> <surname> Ltd and <surname> <surname> Group
-Negotiated with <surname> <surname> Inc and <surname> Partners
-Ran the Green Valley pilot for assembly cells
-Ran the Stone Ridge pilot for packing cells
-Passed ISO 27001 and clause <version> reviews
-Set up the café loyalty scheme in Münster
-Coordinated the fête committee – façade lighting
-Wrote Greek help pages (Οδηγίες χρήσης)
-Translated the banner “Добро пожаловать” for visitors
-Localised the site for the «Заря» programme
-Tagged records with the label Ψηφίο for the museum
-Documented REST endpoints using <tool>, with weekly demos to stakeholders
-Documented REST endpoints, while keeping uptime at 99.<n>%
-Documented REST endpoints in <tool>, and trained <n> new staff
-Tested the claims database for the finance department, ahead of schedule
-Tested the claims database together with two colleagues, cutting run time by <n>%
-Tested the claims database under tight deadlines, which reduced manual entry.
-Tested the claims database after an audit finding, lowering storage cost by <n>%
-Tested the claims database with <tool> and <tool>, and halved the error rate
-Tested the claims database on top of <tool>, and wrote the handover notes
-Designed the pay module across <n> teams, reaching <big> users
-Designed training material for new hires using <tool>
-Audited the mobile onboarding flow for <n> branch offices
-Audited the ticket queue in <tool>, at no extra cost
-Owned a search index for manuals with a focus on accessibility
-Consolidated copies of case files for the finance department, saving <n> hours per month
-Extended access to space plans, serving <big> requests a day
-Maintained warehouse routing rules on top of <tool>
+{idlabel} {id_number:id}, valid until <year>
+{idlabel} {id_number:id}
+Vetting passed ({idlabel} {id_number:id})
+Vetting passed ({idlabel} {id_number:id}), {person:name}
+Taxed as self-employed, {idlabel} {id_number:id}, since <year>
+Permit names {idlabel} #{id_number:id}
+Wages paid under {idlabel} {id_number:id}
+Let in on {idlabel} {id_number:id} on day one
+Health card carries {id_number:id} as {idlabel}
+File notes {id_number:id} ({idlabel}), seen
+Checks complete, {idlabel}={id_number:id}
+Handed in {id_number:lettered} to show who I am
+Handed in {id_number:id} as proof of age – {email:mail}
+Got my wages account with {id_number:lettered} / {phone:phone}
+Got my wages account with {id_number:id}
+Gate pass issued for {idlabel} {id_number:id}
+""".strip().splitlines()
+
+#: Clauses and lines about goods, places, products and numbers, without an item.
+PLAIN_CLAUSES = """
+ in <tool>
+ with <tool> and <tool>
+ for <n> clinics
+ for the sales office
+ with <n>% less waste
+, <n> hours a week
+, at half the cost
+ before the audit
+ and won Best Stand of <year>
+, serving <big> guests
+, reaching <big> people
+ for <big> readers
+ in <city> and <city>
+ on the site in <city>
+ with three colleagues
+ after a review by the board
+, and halved the backlog
+; see chapter <version>
+ under strict deadlines
+ for the <word> Bridge opening
+ near the <word> Town Hall
+ on <street>
+; parts <ssnlike> and <passlike>
+ from Shed <n> to Hall <n>, <city>
+ to Room <n>, <city>
+ to Hall <n>, <city>
+ under order <order>
+, ticket <abc>-<five>
+; invoice <threefour>
+, batch <sixsix>
+, badge <six>
+, version <version>
+ for Rs <seven>
+ for EUR <commas>
+""".strip("\n").splitlines()
+
+PLAIN = """
+Ranked <ssnlike> in the list of goods
+Graded <ssnlike> on the stock index
+Found valve <ssnlike> in the wrong bin
+Counted item <passlike> on the pallets
+Stored pump <passlike> in the cellar
+Kept article <passlike> in the catalogue
+Shipped pallet <threefour> to the coast
+Recalled lot <threefour> after a test
+Closed the books of account <threefour>
+Balanced journal <threefour> at the end of the month
+Badge STF <six> replaced badge STF <six>
+Locker <five>, badge <six>, parking <n>
+Delivered order <order> of <n> crates
+Packed <n> crates for order <order> in time
+Solved ticket <abc>-<five> and <n> like it
+Answered case <abc>-<five>
+Published build <build> on the @dev-room board
+Sent notes of build <build> to the @night-team
+Tagged release <version> of the planner
+Spoke at the ideas@noon round
+Founded the people@work circle
+Read probe <sixsix> every <n> minutes
+Printed label <sku> on <n> boxes
+Filed folder <folder> behind <folder>
+Filled in form 12B for <n> farmers
+Launched the Grey Badger calendar on port <four>
+Replaced the White Stork sorter on port <four>
+Put <n> racks into Hall <n>, <city>
+Fetched parcels from Gate <n>, <city>
+Carried crates from bay <n> to Hall <n>, <city>
+Trains leave from Platform <n>, <city>
+Desk in Room <n>, Wing <n>
+Exchanged keys <code> <six> for <code> <six>
+Handed out passes <code> <six> and <code> <six>
+Wrote <code> <sku> on <n> shelves
+Marked <code> <sku> and <n> more
+Clerk <code> <five> of the year <year>
+Called flush() <six> times a night
+Reached <commas> readers in <year>-<year>
+Spent a budget of Rs <seven>
+Raised EUR <commas> for the roof
+Named Trainee of the Year in <year>
+Named Shift of the Month in <year>
+Brought Project Golden Anchor to its end
+Brought Programme Quiet Harvest to its end
+Cooked for the opening of the <word> River Station in <city>
+Cooked for the opening of the <word> Garden Theatre in <city>
+Painted the <street> hall in <city>
+Measured <street> and <street> for <n> shops
+Planted <n> trees along <street>
+Mapped <street> and <street> in <n> days
+Swept <street> and <street> for <n> winters
+Patrolled <street> and <street>
+Adopted <brand> planner on port <four>
+Configured <brand> gateway on port <four>
+Presented <brand> toolkit to <n> guests
+Replaced <brand> engine with <brand> runtime
+Maintained <brand> and <brand> for <n> users
+Serviced <n> <word> Classic boilers and <n> pumps
+Tuned <n> <word> Prime pianos and <n> organs
+Put up <n> signs on <street>
+Sold <n> <word> Prime lamps and <n> bulbs
+Built <n> <word> Royal tables and <n> benches
+Bought from <word> <word> Ltd and <word> <word> Group
+Merged <word> <word> Inc with <word> Partners
+Audited <word> & <word> Bank
+Tested the Red Maple pilot on two lines
+Tested the Deep Lake pilot on two lines
+Met ISO 9001 and clause <version>
+Ran a kiosk in Köln and a bar in Orléans
+Sang in the Señor choir – première in <city>
+Wrote Greek labels (Γενικές πληροφορίες)
+Drew the poster “Весенний праздник” for the club
+Filed papers under Κείμενο
+Worked in Paris, London and New York
+Spoke English, French and Polish
+Studied at <word> University and <word> College
+Learned Power Point, Google Sheets and Apple Keynote
+Certified by Cloud Native Foundation in <year>
+Flew to South Africa and Costa Rica
+On call from Monday to Friday
+Opened Monday to Friday, closed at noon
+Grew sales from <n> to <big> units
+Fell from <n> to <n> errors a week
+Scored <n> of <n> in the safety test
+Open from <n>:30 to <n>:45
+Between <year> and <year> on leave
+Wrote <n> pages of REST and SQL notes
+Ran TCP and UDP tests on port <four>
+Joined as Senior Clerk, left as Office Head
+Worked as Senior Data Analyst for the Board
+Member of the Works Council
 """.strip().splitlines()
 
 #: Documents of identity and how they are called.
-ID_LABELS = ["SSN", "social security no.", "tax payer no.", "Aadhaar", "UID no.", "national ID", "passport no.", "passport", "travel document", "driving licence", "licence no.", "PAN", "permanent account no.", "identity card"]
+ID_LABELS = ["social security number", "tax ID", "Aadhaar no.", "identity card no.", "passport number", "driver's licence", "SSN:", "residence permit", "national identity number", "PAN no.", "SSN", "social security no.", "tax payer no.", "Aadhaar", "UID no.", "national ID", "passport no.", "passport", "travel document", "driving licence", "licence no.", "PAN", "permanent account no.", "identity card"]
 TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Dr", "Prof.", "Mr", "Shri", "Smt."]
 _ONSETS, _VOWELS, _CODAS = "b br c d dr f g gr h j k l m n p qu r s st t th v w z".split(), "a e i o u ae ia".split(), "n r l s nd rk m v sh ck".split()
 _MARKED = dict(zip("aeiouc", "áéíöüç"))
 _STREETS = "Road Street Lane Avenue Close Court Drive Row Way Boulevard Rd Ave St. Dr Square Terrace".split()
+_BRAND_A, _BRAND_B = "Copper Quiet Silver North Amber Wild Bright Green Stone Rapid Open Blue".split(), "Finch Comet River Otter Lantern Maple Falcon Harbour Cloud Heron Bridge Fox".split()
+#: Names of streets where the kind goes before the name, or is joined to it.
+_BEFORE = "rue|rue de la|avenue de|place|via|calle|calle de|ulica|ul.|rua|avenida|boulevard de|corso|piazza|plaza".split("|")
+_JOINED = "straße strasse weg gasse platz allee straat gatan vej".split()
 _TOOLS = "Python Java Kafka Spark Excel SAP Figma Docker Redis C++ C# R Go SQL JIRA MongoDB TypeScript PostgreSQL".split()
 
 
@@ -260,8 +423,10 @@ class Filler:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
     def surname(self) -> str:
-        s = self.word(2)
-        return f"{s}-{self.word(2)}" if self.r.random() < 0.12 else s
+        s, kind = self.word(2), self.r.random()
+        if kind < 0.12:
+            return f"{s}-{self.word(2)}"
+        return self.r.choice(["O’", "O'", "D'"]) + s if kind < 0.17 else s
 
     def name(self) -> str:
         given = self.word(self.r.choice([1, 1, 2]))
@@ -272,6 +437,8 @@ class Filler:
             return f"{given} {self.word(1)[0]}. {self.surname()}"
         if kind < 0.42:
             return f"{given.upper()} {self.surname().upper()}"
+        if kind < 0.45:
+            return f"{given} {self.r.choice(['van', 'de', 'von', 'di', 'al'])} {self.surname()}"
         return f"{given} {self.surname()}"
 
     def listed(self) -> str:
@@ -286,6 +453,12 @@ class Filler:
 
     def address(self) -> str:
         r, n = self.r, str(self.r.randint(1, 420))
+        kind = r.random()
+        if kind < 0.1:
+            return f"{n}{r.choice([',', '', ' bis'])} {r.choice(_BEFORE)} {self.word(2)}, {r.choice(['', self.d(5) + ' '])}{self.city()}"
+        if kind < 0.2:
+            street = r.choice([self.word(2) + r.choice(_JOINED), f"{r.choice(_BEFORE).capitalize()} {self.word(2)}"])
+            return f"{street} {n}, {r.choice(['', self.d(5) + ' '])}{self.city()}"
         house = r.choice([n, n, n, f"{n}{r.choice('abc')}", f"Flat {r.randint(1, 40)}{r.choice('ABCD')}, {n}", f"Plot {r.randint(1, 90)},", f"No. {n},", f"{n}/{r.randint(1, 20)},", f"House {n},", f"Apt {r.randint(1, 40)}, {n}", f"Unit {r.randint(1, 40)}, {n}"])
         a = f"{house} {self.street()}"
         if r.random() < 0.2:
@@ -301,10 +474,18 @@ class Filler:
             [f"+44 20 {d(4)} {d(4)}", f"0{d(4)} {d(3)} {d(3)}", f"+91 {d(5)} {d(5)}", f"+91-{d(10)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)} ext. {d(2)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(11)}", f"+44 (0){d(4)} {d(6)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+49 {d(3)} {d(7)}", f"+33 {self.d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]
         )
 
+    def plain_phone(self) -> str:
+        return self.r.choice(["00", "00", "0", "+"]) + self.d(self.r.choice([10, 11]))
+
     def id(self) -> str:
         d, up = self.d, lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTUVXYZ") for _ in range(n))
         return self.r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}", d(12), f"{up(1)}{d(7)}", f"{up(1)}{d(7)}", f"{up(2)}-{d(2)} {self.r.randint(1995, 2024)} {d(7)}", f"{up(5)}{d(4)}{up(1)}"])
 
+    def lettered(self) -> str:
+        """A number whose form alone says that it is of a document."""
+        d, up = self.d, lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTUVXYZ") for _ in range(n))
+        return self.r.choice([f"{up(5)}{d(4)}{up(1)}", f"{up(5)}{d(4)}{up(1)}", f"{up(1)}{d(7)}", f"{up(2)}-{d(2)} {self.r.randint(1995, 2024)} {d(7)}", f"{d(4)} {d(4)} {d(4)}"])
+
     def mail(self) -> str:
         r = self.r
         a, b = self.word(1).lower(), self.word(2).lower()
@@ -326,7 +507,7 @@ class Filler:
     def plain(self, kind: str) -> str:
         d, r = self.d, self.r
         return {
-            "n": lambda: str(r.randint(1, 60)), "big": lambda: str(r.randint(10, 999) * 100), "tool": lambda: r.choice(_TOOLS), "city": self.city, "given": lambda: self.word(1),
+            "word": lambda: self.word(2), "brand": lambda: f"{r.choice(_BRAND_A)} {r.choice(_BRAND_B)}", "code": lambda: "".join(r.choice("ABCDEFGKLMPRSTUW") for _ in range(r.choice([3, 3, 4]))), "n": lambda: str(r.randint(1, 60)), "big": lambda: str(r.randint(1, 999) * r.choice([10, 100, 100])), "tool": lambda: r.choice(_TOOLS), "city": self.city, "given": lambda: self.word(1),
             "surname": lambda: self.word(1), "street": self.street, "ssnlike": lambda: f"{d(3)}-{d(2)}-{d(4)}", "passlike": lambda: r.choice("ABCDEFGHKLMPRTY") + d(7),
             "threefour": lambda: f"{d(4)} {d(4)} {d(4)}", "order": lambda: f"{d(4)}-{d(2)}-{d(5)}", "build": lambda: f"{r.randint(2015, 2025)}.{d(2)}.{d(2)}-{d(4)}", "version": lambda: f"{r.randint(1, 12)}.{r.randint(1, 12)}.{r.randint(1, 9)}" + (f".{d(1)}" if r.random() < 0.5 else ""),
             "five": lambda: d(5), "four": lambda: d(4), "six": lambda: d(6), "seven": lambda: d(7), "year": lambda: str(r.randint(1995, 2025)), "sixsix": lambda: (lambda x: f"{x}-{x}")(d(6)),
@@ -334,27 +515,44 @@ class Filler:
         }[kind]()
 
 
-def labelled(copies: int = 14, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, items as (start, end, kind)) of every line, `copies` times with other fillers."""
-    import re
+def fill(line: str, f: Filler) -> tuple[str, list[tuple[int, int, str]]]:
+    """A line with its fillers drawn, and its items as (start, end, kind)."""
+    text, items, at = "", [], 0
+    for m in re.finditer(r"\{(\w+)(?::(\w+))?\}|<(\w+)>", line):
+        text += line[at : m.start()]
+        at = m.end()
+        if m[3]:
+            text += f.plain(m[3])
+        elif m[2]:
+            item = getattr(f, m[2])()
+            items.append((len(text), len(text) + len(item), m[1]))
+            text += item
+        else:
+            text += f.r.choice(TITLES if m[1] == "title" else ID_LABELS)
+    return text + line[at:], items
+
 
+def labelled(size: int = 6_000, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """`size` lines of the grammar: (text, items as (start, end, kind))."""
     f, out = Filler(seed), []
-    for _ in range(copies):
-        for line in LINES:
-            text, items, at = "", [], 0
-            for m in re.finditer(r"\{(\w+)(?::(\w+))?\}|<(\w+)>", line):
-                text += line[at : m.start()]
-                at = m.end()
-                if m[3]:
-                    text += f.plain(m[3])
-                elif m[2]:
-                    item = getattr(f, m[2])()
-                    items.append((len(text), len(text) + len(item), m[1]))
-                    text += item
-                else:
-                    text += f.r.choice(TITLES if m[1] == "title" else ID_LABELS)
-            text += line[at:]
-            if f.r.random() < 0.15 and not text.endswith((".", ")")):
-                text += "."
-            out.append((text, items))
+    r = f.r
+    for _ in range(size):
+        kind = r.random()
+        if kind < 0.32:
+            line = r.choice(WHOLE)
+        elif kind < 0.5:
+            line = r.choice(PLAIN)
+        elif kind < 0.62:
+            line = r.choice(BEGINNINGS) + r.choice(PLAIN_CLAUSES)
+        else:
+            line = r.choice(BEGINNINGS)
+            line += r.choice(PLAIN_CLAUSES) if r.random() < 0.3 else ""
+            line += r.choice(CLAUSES)
+        # a second item often follows, after a mark
+        if r.random() < 0.12 and not line.endswith((".", ">")):
+            line += r.choice(["; ", ", ", " / ", " – ", "; also ", ", also "]) + r.choice(["{person:name}", "{title} {person:surname}", "{email:mail}", "{phone:phone}"])
+        text, items = fill(line, f)
+        if r.random() < 0.12 and not text.endswith((".", ")")):
+            text += "."
+        out.append((text, items))
     return out

@@ -19,8 +19,64 @@ def finder():
     return pii.Finder(pii.trained())
 
 
-def test_heldout_lines(finder):
-    lines = labelled(1, seed=1234)
+#: Other wording than the training table's, with foreign addresses and names, and with what only looks similar.
+HELDOUT = [
+    "My landlord wanted rent at {12 rue de la Paix, Paris|address}",
+    "Please forward it to {Lindenallee 14, 20095 Hamburg|address}",
+    "The workshop stood at {221b Baker Street, London|address}, phone {+44 20 7946 0958|phone}",
+    "Stayed with a host family at {7 via Garibaldi, Torino|address}",
+    "Parcel for {Flat 3, 18 Park Lane, Leeds 400012|address}",
+    "Spent June with Dr. {Okafor|person} and nurse {Amélie Dubois|person}",
+    "Met {Priya Sharma|person} and {Tom O'Neil|person}",
+    "Interned with {Zsófia Horváth|person} in the blood lab",
+    "The rota was drawn up by {J. Mbeki|person}",
+    "Praised in writing by Ms. {Li|person}",
+    "Thesis examined by {Lars van Dijk|person}",
+    "Got my first job from {IVANA NOVAK|person}",
+    "Please e-mail {jo.smith@mail.example.org|email} or phone {(555) 123-4567|phone}",
+    "Bookings through {front-desk(at)hotel.example|email}",
+    "Anything urgent: {k.lund@ward7.example|email}",
+    "Reachable all night on {+49 151 2345678|phone}",
+    "The pager was {555-867-5309|phone}",
+    "Dial {00441632960961|phone} and wait",
+    "Travelled on passport no. {X1234567|id_number}",
+    "Registered at the clinic, SSN {123-45-6789|id_number}",
+    "Hired after an Aadhaar check, {1234 5678 9012|id_number}",
+    "We used Red Hat Linux and Google Cloud",
+    "Visited New York with the Board",
+    "Sold 14 Nova Deluxe mixers",
+    "Catalogue entry 123-45-6789 went missing",
+    "Raised output from 1,250,000 to 1,400,000 units in 2019",
+    "Upgraded to version 12.4.1 over the weekend",
+    "Spoke at the pizza@work lunch",
+    "Walked 12 miles along Harbour Road",
+    "Order 2291-77-10394 arrived late",
+]
+
+
+def marked(line):
+    import re
+
+    text, items, at = "", [], 0
+    for m in re.finditer(r"\{([^|}]*)\|(\w+)\}", line):
+        text += line[at : m.start()]
+        items.append((len(text), m[2]))
+        text += m[1]
+        at = m.end()
+    return text + line[at:], items
+
+
+def test_lines_of_other_wording(finder):
+    lines = [marked(x) for x in HELDOUT]
+    got = [[(a, k) for a, _, k in r] for r in finder.find([t for t, _ in lines])]
+    right = sum(len(set(a) & set(b)) for a, (_, b) in zip(got, lines))
+    wanted, found = sum(len(b) for _, b in lines), sum(map(len, got))
+    assert right >= 0.9 * wanted and right >= 0.85 * found
+
+
+def test_lines_of_the_grammar(finder):
+    """Other fillers in the table's own wording."""
+    lines = labelled(600, seed=1234)
     got = finder.find([t for t, _ in lines])
     right = sum(len(set(a) & set(b)) for a, (_, b) in zip(got, lines))
     assert right >= 0.97 * sum(len(b) for _, b in lines)
