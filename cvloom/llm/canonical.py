@@ -1,8 +1,9 @@
 """One consistent form of text that looks the same but is stored in other characters (problem 5).
 
 A compiled transducer goes over the text once, grapheme cluster by grapheme cluster, and replaces the longest source it
-knows: full-width and styled letters, ligatures, blanks of other widths, invisible characters, accents that stand apart.
-Look-alike letters of another alphabet are replaced where the word around them is Latin. The mapping is computed from
+knows: letters with the accents that stand apart from them (of a letter with one and with two accents the longer source is
+taken), full-width and styled letters, ligatures, blanks of other widths, invisible characters. Look-alike letters of another
+alphabet are sources of the same mapping that only count where the word around them is Latin. The mapping is computed from
 rules over the Unicode character database and checked for conflicts.
 """
 
@@ -37,37 +38,56 @@ def _invisible(cp: int, ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" and not 0x600 <= cp <= 0x605 and cp != 0x6DD or any(a <= cp <= b for a, b in _INVISIBLE_RANGES)
 
 
+def _skipped(cp: int) -> bool:
+    """Surrogates, private use and unassigned planes."""
+    return 0xD800 <= cp < 0xF900 or 0x323B0 <= cp < 0xE0000 or cp >= 0xE1000
+
+
 @lru_cache(maxsize=1)
 def build_mapping() -> dict[str, str]:
-    """Source character -> target, by rule. Raises if two rules disagree or if a target would be mapped again."""
+    """Source (one character or more) -> target, by rule. Raises if two rules disagree or if a target would be mapped again."""
     out: dict[str, str] = {}
 
     def put(source: str, target: str) -> None:
-        if out.setdefault(source, target) != target:
-            raise ValueError(f"conflict at U+{ord(source):04X}")
+        if source != target and out.setdefault(source, target) != target:
+            raise ValueError(f"conflict at {source!r}")
 
     for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp <= 0xF8FF and not 0xF900 <= cp or 0x323B0 <= cp < 0xE0000 or cp >= 0xE1000:
+        if _skipped(cp):
             continue
         ch = chr(cp)
-        cat = unicodedata.category(ch)
+        cat, parts = unicodedata.category(ch), unicodedata.decomposition(ch)
         if _invisible(cp, ch):
             put(ch, "")
         elif cat == "Zs":
             put(ch, " ")
-        else:
-            kind = unicodedata.decomposition(ch).partition("> ")[0] if unicodedata.decomposition(ch).startswith("<") else ""
+        elif parts.startswith("<"):
+            kind = parts.partition(">")[0]
             plain = unicodedata.normalize("NFKC", ch)
-            if kind in ("<wide", "<narrow", "<font"):
-                put(ch, plain)
-            elif kind == "<circle" and len(plain) == 1 and plain.isalnum():
-                put(ch, plain)
-            elif kind == "<compat" and (0xFB00 <= cp <= 0xFB06 or 0xFB13 <= cp <= 0xFB17):
+            if kind in ("<wide", "<narrow", "<font") or kind == "<circle" and len(plain) == 1 and plain.isalnum() or kind == "<compat" and (0xFB00 <= cp <= 0xFB06 or 0xFB13 <= cp <= 0xFB17):
                 put(ch, plain)
+        elif parts and not 0xAC00 <= cp <= 0xD7A3:
+            # composed letters from any mixture of letters and accents in canonical order; Hangul composes by arithmetic
+            whole, apart = unicodedata.normalize("NFC", ch), unicodedata.normalize("NFD", ch)
+            put(ch, whole)
+            put(apart, whole)
     for source, target in out.items():
-        again = "".join(out.get(c, c) for c in target)
-        if again != target:
-            raise ValueError(f"U+{ord(source):04X} goes on to change")
+        if "".join(out.get(c, c) for c in target) != target or target in out and out[target] != target:
+            raise ValueError(f"{source!r} goes on to change")
+    return out
+
+
+@lru_cache(maxsize=1)
+def look_alike_mapping() -> dict[str, tuple[dict[str, str], dict[str, str]]]:
+    """Of each alphabet: look-alikes for whole words, and those inside of words that are Latin otherwise. Part of the mapping,
+    and checked with it: no source has another target, and no target is a source of anything."""
+    always = build_mapping()
+    out = {s: (LOOKALIKES[s], LOOKALIKES[s] | NEARLY.get(s, {})) for s in LOOKALIKES}
+    sources = {c for _, near in out.values() for c in near}
+    for whole, near in out.values():
+        for source, target in near.items():
+            if source in always or target in always or target in sources or whole.get(source, target) != target:
+                raise ValueError(f"conflict at {source!r}")
     return out
 
 
@@ -82,8 +102,8 @@ class Transducer:
                 node = node.setdefault(ch, {})
             node[""] = target
         self._clusters: dict[str, str] = {}
-        self.like = {s: LOOKALIKES[s] for s in LOOKALIKES}
-        self.near = {s: LOOKALIKES[s] | NEARLY.get(s, {}) for s in LOOKALIKES}
+        tables = look_alike_mapping()
+        self.like, self.near = {s: t[0] for s, t in tables.items()}, {s: t[1] for s, t in tables.items()}
 
     def _longest(self, text: str) -> str:
         out, i = [], 0
@@ -106,7 +126,8 @@ class Transducer:
             elif len(c) > 1 and _KEEPS_JOINERS.match(c):
                 got = unicodedata.normalize("NFC", c)
             else:
-                got = unicodedata.normalize("NFC", self._longest(unicodedata.normalize("NFC", c)))
+                # in canonical order, in which the sources are; what is left apart (Hangul, accents of styled letters) composes after
+                got = unicodedata.normalize("NFC", self._longest(unicodedata.normalize("NFD", c)))
             if len(self._clusters) > 100_000:
                 self._clusters.clear()
             self._clusters[c] = got
@@ -121,14 +142,16 @@ class Transducer:
                 out.append((form, at))
             at += len(c)
         # an accent that an invisible character had cut off from its letter
-        k = 1
-        while k < len(out):
-            if unicodedata.combining(out[k][0][0]):
-                out[k - 1 : k + 1] = [(unicodedata.normalize("NFC", out[k - 1][0] + out[k][0]), out[k - 1][1])]
+        joined: list[tuple[str, int]] = []
+        for form, p in out:
+            if joined and unicodedata.combining(form[0]):
+                joined[-1] = (joined[-1][0] + form, joined[-1][1])
             else:
-                k += 1
-        self._look_alikes(out)
-        return out
+                joined.append((form, p))
+        if len(joined) < len(out):
+            joined = [(form if len(form) == 1 else unicodedata.normalize("NFC", form), p) for form, p in joined]
+        self._look_alikes(joined)
+        return joined
 
     def _look_alikes(self, out: list[tuple[str, int]]) -> None:
         words, k = [], 0

@@ -145,6 +145,25 @@ def test_canonical_forms():
     assert t.apply(None) is None
 
 
+def test_longest_source_is_taken():
+    t = canonical.transducer()
+    assert {"e\u0302", "e\u0302\u0301", "\uff41"} <= set(canonical.build_mapping())
+    assert t._longest("e\u0302\u0301x") == "\u1ebfx" and t._longest("e\u0302x") == "\u00eax"
+    # accents in another order, on a full-width letter, and a thousand of them
+    assert t.apply("\u0301e\u0323\u0302".replace("\u0301", "")) == "\u1ec7" and t.apply("\uff45\u0301") == "\u00e9"
+    assert t.apply("a" + "\u200b\u0301" * 20_000).startswith("\u00e1")
+
+
+def test_canonical_is_composed_for_any_letters():
+    """What only needs composing comes out as the library composes it."""
+    import unicodedata
+
+    t = canonical.transducer()
+    for cp in (*range(0xC0, 0x250), *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x1E00, 0x1EFA), *range(0xAC00, 0xD7A3, 97)):
+        if chr(cp).isalpha() and not unicodedata.decomposition(chr(cp)).startswith("<"):
+            assert t.cluster(unicodedata.normalize("NFD", chr(cp))) == unicodedata.normalize("NFC", chr(cp)) == t.cluster(chr(cp))
+
+
 def test_positions_of_canonical_text():
     text, at = canonical.transducer().with_positions("a​ﬁéx")
     assert (text, at) == ("afiéx", [0, 2, 2, 3, 5])
