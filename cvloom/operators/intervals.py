@@ -8,39 +8,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units per time shard. The coverage of one shard is a bit mask in a BIGINT, so at most 63.
+#: Units per time shard, unless told otherwise.
 SHARD = 60
 
 
-def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def merge_intervals(df: DataFrame, key: str, start: str, end: str, shard: int = SHARD) -> DataFrame:
     """Maximal continuous periods per key: (key, from_unit, to_unit), integers, both ends inclusive.
 
     Two levels, so that a key with a third of all rows is never in one task: each interval is clipped into shards of
-    SHARD units, and the clips of a (key, shard) merge locally by OR-ing bit masks, which Spark does before the shuffle;
-    then the few runs of each shard are stitched where they touch a shard boundary. What reaches one task per key is
-    bounded by the length of the time axis, not by the rows. Intervals that touch (end + 1 = start) are one period.
-    Null keys, null ends and intervals that end before they start are left out; repeated rows change nothing.
+    `shard` units, and the clips of a (key, shard) merge locally, which Spark begins before the shuffle; then the few runs of
+    each shard are stitched where they touch a shard boundary. An interval gives one row per shard that it reaches into, so
+    a shard should be about as long as most intervals. Up to 62 units the coverage of a shard is a bit mask, and what
+    reaches one task per key is bounded by the length of the time axis; in longer ones clips of one start merge before the
+    shuffle, and what reaches one task per (key, shard) is bounded by the units of a shard. Intervals that touch
+    (end + 1 = start) are one period. Null keys, null ends and intervals that end before they start are left out; repeated
+    rows change nothing.
     """
-    one = F.lit(1).cast("bigint")
     ok = df.select(F.col(key).alias("key"), F.col(start).cast("bigint").alias("a"), F.col(end).cast("bigint").alias("b")).where("key is not null and a <= b")
-    clipped = ok.select("key", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / SHARD), F.floor(F.col("b") / SHARD))).alias("shard"))
-    lo = F.greatest(F.col("a") - F.col("shard") * SHARD, F.lit(0)).cast("int")
-    hi = F.least(F.col("b") - F.col("shard") * SHARD, F.lit(SHARD - 1)).cast("int")
-    bits = F.call_function("shiftleft", F.call_function("shiftleft", one, (hi - lo + 1)) - 1, lo)
-    local = clipped.groupBy("key", "shard").agg(F.bit_or(bits).alias("mask"))
-
-    # a run begins at a set bit whose lower neighbour is not set, and ends at one whose upper neighbour is not
-    marked = local.select("key", "shard", F.expr("mask & ~shiftleft(mask, 1)").alias("s"), F.expr("mask & ~shiftrightunsigned(mask, 1)").alias("e"))
-    starts, ends = (F.expr(f"filter(sequence(0, {SHARD - 1}), i -> getbit({c}, i) = 1)") for c in ("s", "e"))
-    runs = marked.select("key", "shard", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r")).select(
-        "key", (F.col("shard") * SHARD + F.col("r.s")).alias("a"), (F.col("shard") * SHARD + F.col("r.e")).alias("b")
-    )
+    clipped = ok.select("key", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / shard), F.floor(F.col("b") / shard))).alias("shard"))
+    runs = (_masked if shard <= 62 else _sorted)(clipped, shard)
     by_key = Window.partitionBy("key").orderBy("a")
     new = F.when(F.col("a") <= F.lag("b").over(by_key) + 1, 0).otherwise(1)
     stitched = runs.withColumn("new", new).withColumn("period", F.sum("new").over(by_key))
     return stitched.groupBy("key", "period").agg(F.min("a").alias("from_unit"), F.max("b").alias("to_unit")).select(F.col("key").alias(key), "from_unit", "to_unit")
 
 
+def _masked(clipped: DataFrame, shard: int) -> DataFrame:
+    """Runs (key, a, b) within shards, by OR-ing bit masks."""
+    one = F.lit(1).cast("bigint")
+    lo = F.greatest(F.col("a") - F.col("shard") * shard, F.lit(0)).cast("int")
+    hi = F.least(F.col("b") - F.col("shard") * shard, F.lit(shard - 1)).cast("int")
+    span = F.call_function("shiftleft", one, hi - lo + 1) - 1
+    local = clipped.groupBy("key", "shard").agg(F.bit_or(F.call_function("shiftleft", span, lo)).alias("mask"))
+    # a run begins at a set bit whose lower neighbour is not set, and ends at one whose upper neighbour is not
+    marked = local.select("key", "shard", F.expr("mask & ~shiftleft(mask, 1)").alias("s"), F.expr("mask & ~shiftrightunsigned(mask, 1)").alias("e"))
+    starts, ends = (F.expr(f"filter(sequence(0, {shard - 1}), i -> getbit({c}, i) = 1)") for c in ("s", "e"))
+    return marked.select("key", "shard", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r")).select("key", (F.col("shard") * shard + F.col("r.s")).alias("a"), (F.col("shard") * shard + F.col("r.e")).alias("b"))
+
+
+def _sorted(clipped: DataFrame, shard: int) -> DataFrame:
+    """Runs (key, a, b) within shards, by start."""
+    first = F.col("shard") * shard
+    clips = clipped.groupBy("key", "shard", F.greatest("a", first).alias("a")).agg(F.max(F.least(F.col("b"), first + (shard - 1))).alias("b"))
+    w = Window.partitionBy("key", "shard").orderBy("a")
+    before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = clips.withColumn("new", F.when(F.col("a") <= before + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return marked.groupBy("key", "shard", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("key", "a", "b")
+
+
 def with_gaps(periods: DataFrame, key: str) -> DataFrame:
     """The periods, and between each two successive ones the gap: (key, kind, from_unit, to_unit)."""
     nxt = F.lead("from_unit").over(Window.partitionBy(key).orderBy("from_unit"))

@@ -24,19 +24,21 @@ def _q(s: str) -> str:
 
 
 def _row(rank: int, skill: str) -> str:
-    # no look-around: the character before belongs to the first group, whose length is the position of the skill
+    # no look-around: the character before (of which a line end at the beginning makes sure) belongs to the first group, whose
+    # length gives the position of the skill
     body, no = re.sub(r"([^A-Za-z0-9 ])", r"\\\1", skill), _beside(skill)
-    return f"({rank}, {_q(skill.lower())}, {_q(_DICT.lookup().get(skill.lower(), skill))}, {_q(f'(?is)^(.*?(?:^|[^{no}])){body}(?:[^{no}]|$)')})"
+    return f"({rank}, {_q(skill.lower())}, {_q(_DICT.lookup().get(skill.lower(), skill))}, {_q(f'(?is)^(.*?[^{no}]){body}(?:[^{no}]|$)')})"
 
 
 _SKILLS = f"""
 WITH s AS (SELECT resume_id, max(CASE WHEN section = 'skills' THEN nullif(body, '') END) AS body FROM ({BODIES}) GROUP BY resume_id),
 c AS ({RESUMES}),
 src AS (SELECT c.resume_id, regexp_replace(coalesce(s.body, c.t), '(?m)^\\s*[A-Za-z &/()]+:\\s*', ' ', 'g') AS p FROM c LEFT JOIN s USING (resume_id) WHERE regexp_matches(coalesce(s.body, c.t), '\\S')),
-lower_src AS MATERIALIZED (SELECT resume_id, p, lower(p) AS lp FROM src),
+lower_src AS MATERIALIZED (SELECT resume_id, chr(10) || p AS p, lower(p) AS lp FROM src),
 look(rank, low, skill, pat) AS (VALUES {", ".join(_row(k, s) for k, s in enumerate(_DICT.ranked()))}),
 w AS MATERIALIZED ({_SKILL_WORDS}),
-f AS (SELECT resume_id, rank, skill, length(regexp_extract(p, pat, 1)) AS pos FROM lower_src, look WHERE contains(lp, low) AND regexp_matches(p, pat)),
+g AS MATERIALIZED (SELECT resume_id, rank, skill, regexp_extract(p, pat, 1) AS before FROM lower_src, look WHERE contains(lp, low)),
+f AS (SELECT resume_id, rank, skill, length(before) - 1 AS pos FROM g WHERE before <> ''),
 f1 AS (SELECT resume_id, skill, min(rank) AS rank, arg_min(pos, rank) AS pos FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.resume_id = f.resume_id AND w.skill = f.skill) GROUP BY resume_id, skill),
 u AS (SELECT resume_id, pos, 1 AS step, 0 AS rank, skill FROM w UNION ALL SELECT resume_id, pos, 2, rank, skill FROM f1)
 SELECT resume_id, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY pos, step, rank, skill) AS INTEGER) AS ord, skill FROM u"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cvloom.operators import intervals, shred, units
-from cvloom.tables import spread
+from cvloom.tables import spread, use_checkpoints
 
 PAYLOADS = [
     '{"education": [{"degree": "A", "grade": " "}, {}, null, {"dates": null}, {"location": "L"}], "experience": [{"jobTitle": "T", "company": "C", "description": ["x", "", null, ["y"], {"text": "z", "sub": ["w"]}]}]}',
@@ -139,6 +139,8 @@ def test_merge_equals_brute_force(spark):
     rows = [(rng.choice([1, 2, 3, 3, 3, None]), a, a + rng.randint(-2, 40) if rng.random() < 0.9 else a + 300) for a in (rng.randint(-200, 900) for _ in range(300))] + [(4, 59, 60), (4, 61, 61), (5, None, 3), (4, 59, 60)]
     df = spark.createDataFrame(rows, "k bigint, a bigint, b bigint")
     got = {tuple(r) for r in intervals.with_gaps(intervals.merge_intervals(df, "k", "a", "b"), "k").collect()}
+    for shard in (1, 62, 63, 500):
+        assert {tuple(r) for r in intervals.with_gaps(intervals.merge_intervals(df, "k", "a", "b", shard), "k").collect()} == got
     want = set()
     for k in {r[0] for r in rows if r[0]}:
         units_ = sorted({u for x, a, b in rows if x == k and a is not None for u in range(a, b + 1)})
@@ -189,7 +191,22 @@ def test_units_of_mass(spark):
     assert got[4] is None and got[5] is None
 
 
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        use_checkpoints(session)
+
+
 def test_spread_leaves_wide_scans(spark):
     assert spread(spark.range(10).repartition(8)).rdd.getNumPartitions() == 8
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1), least=0).rdd.getNumPartitions() == 1
     assert spread(spark.range(10).coalesce(1)).agg(F.sum("id")).first()[0] == 45
