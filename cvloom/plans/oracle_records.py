@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from cvloom.functions.skills import SkillDictionary
-from cvloom.functions.vocab import STRICT_SKILLS
-from cvloom.plans.oracle import BODIES, RESUMES, SQL as CORE, _SKILL_DIM, _SKILL_WORDS
+from cvloom.functions.vocab import LINKEDIN_RESERVED, MAX_HEADING, STRICT_SKILLS
+from cvloom.plans.oracle import BODIES, HEADINGS, RESUMES, SQL as CORE, _GH, _GITHUB, _IN, _LINKEDIN, _OK, _SKILL_DIM, _SKILL_WORDS, _quoted
+from cvloom.plans.queries import CORPUS
 from cvloom.plans.oracle_entries import _EXP, EDUCATION
 
 _DICT = SkillDictionary.default()
@@ -52,11 +53,27 @@ SELECT r.resume_id, c.name, c.email, c.phone, coalesce(k.skills, []) AS skills,
 FROM resumes r LEFT JOIN ({CORE["contact_info"]}) c USING (resume_id) LEFT JOIN k USING (resume_id) LEFT JOIN e USING (resume_id) LEFT JOIN x USING (resume_id)"""
 
 
+def _linked(url: str) -> str:
+    """The résumés as the statements for profile links expect them: with the one embedded link that counts."""
+    real = "regexp_replace({}, '(?i)\\b(linkedin|github)\\.example\\b', '\\1.com', 'g')"
+    return f"""
+SELECT r.resume_id, coalesce({real.format('c.t')}, '') AS clean_text, list_filter(list_transform(coalesce(extra_urls, []), lambda u: {real.format('u')}), lambda u: {url})[1] AS url
+FROM resumes r JOIN ({RESUMES}) c USING (resume_id)"""
+
+
+_IN_URL = f"regexp_matches(u, '^{_IN}') AND length(regexp_extract(u, '^{_IN}', 1)) >= 2 AND lower(regexp_extract(u, '^{_IN}', 1)) NOT IN ({_quoted(LINKEDIN_RESERVED)})"
+_GH_URL = _OK.replace("(s)", f"(regexp_extract(u, '^{_GH}', 1))") + f" AND NOT contains(ltrim(regexp_replace(u, '^{_GH}', ''), '/'), '/')"
+
+
 def _shown(c: str) -> str:
     return f"coalesce(nullif({c}, ''), 'Not detected') AS {c}"
 
 
 SQL: dict[str, str] = {
+    "resume_profiles": f"SELECT a.resume_id, a.linkedin, b.github FROM ({_LINKEDIN.replace(CORPUS, _linked(_IN_URL))}) a JOIN ({_GITHUB.replace(CORPUS, _linked(_GH_URL))}) b USING (resume_id)",
+    "heading_alias_join": f"""
+        WITH {HEADINGS} SELECT alias, section, count(*) AS n
+        FROM (SELECT l.alias, l.section FROM x JOIN live l ON l.alias = lower(trim(regexp_replace(trim(x.line), '[\\s:.\\-–—|]+$', ''))) AND length(trim(x.line)) <= {MAX_HEADING}) GROUP BY alias, section""",
     "skills_by_resume": _SKILLS,
     "skill_doc_counts": f"SELECT skill, count(*) AS n_docs FROM ({_SKILLS}) GROUP BY skill",
     "skill_category_counts": f"""

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from cvloom.functions.contact import contact, email, name, phone
 from cvloom.functions.profiles import github, linkedin, profiles
-from cvloom.functions.sections import section_of, with_sections
+from cvloom.functions.sections import heading_key, live_aliases, section_of, with_sections
 from cvloom.functions.skills import SkillDictionary, dictionary_rows, with_skills
 from cvloom.functions.skills import skill_words as words_that_spell_skills
-from cvloom.functions.text import clean_text, lines_of
-from cvloom.functions.vocab import GITHUB_RESERVED
+from cvloom.functions.text import clean_text, lines_of, strip
+from cvloom.functions.vocab import GITHUB_RESERVED, MAX_HEADING
 from cvloom.operators import intervals, shred, units
 from cvloom.operators.entries import education, education_records, experience, experience_records
 from cvloom.plans import pipeline
@@ -104,6 +104,14 @@ def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("section", section_of(F.col("line"))).where("section is not null").select("resume_id", "line_no", "section")
 
 
+def heading_alias_join(spark: SparkSession, d: str) -> DataFrame:
+    """Headings by spelling: an equi-join of the lines' keys with the table of spellings."""
+    x = _cleaned(spark, d).where("clean_text is not null").select(F.explode(lines_of(F.col("clean_text"))).alias("line"))
+    short = x.where(F.length(strip(F.col("line"))) <= MAX_HEADING).select(heading_key(F.col("line")).alias("alias"))
+    aliases = spark.createDataFrame(list(live_aliases().items()), "alias string, section string")
+    return short.join(aliases, "alias").groupBy("alias", "section").agg(F.count("*").alias("n"))
+
+
 def email_first(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(spark, d).select("resume_id", email(F.col("clean_text")).alias("email"))
 
@@ -152,6 +160,17 @@ def profile_links(spark: SparkSession, d: str) -> DataFrame:
     return _corpus(spark, d).select("resume_id", profiles(F.col("clean_text"), F.col("extra_urls")).alias("p")).select("resume_id", "p.*")
 
 
+#: The hosts of the test table's links stand for these.
+_HOSTS = (r"(?i)\b(linkedin|github)\.example\b", "$1.com")
+
+
+def resume_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profile links of the résumés and of the links embedded in them, with the table's invented hosts read as the real ones."""
+    urls = F.transform("extra_urls", lambda u: F.regexp_replace(u, *_HOSTS))
+    t = F.regexp_replace(F.coalesce("clean_text", F.lit("")), *_HOSTS)
+    return _cleaned(spark, d).select("resume_id", profiles(t, urls).alias("p")).select("resume_id", "p.*")
+
+
 def _skills(spark: SparkSession, d: str) -> DataFrame:
     return with_skills(prepare(_resumes(spark, d)), "skills_text").select("resume_id", F.posexplode_outer("skills").alias("p", "skill")).where("skill is not null").select("resume_id", (F.col("p") + 1).alias("ord"), "skill")
 
@@ -249,8 +268,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_education, p1_experience, p1_lines, p1_errors, p3_found, p4_found, p4_grades,
-        clean_text_resumes, clean_text_docs, line_stats, heading_lines, section_bodies, section_counts,
-        email_first, email_first_docs, phone_first, name_first, contact_info, linkedin_url, github_profile, profile_links,
+        clean_text_resumes, clean_text_docs, line_stats, heading_lines, heading_alias_join, section_bodies, section_counts,
+        email_first, email_first_docs, phone_first, name_first, contact_info, linkedin_url, github_profile, profile_links, resume_profiles,
         skills_by_resume, skill_words, skill_doc_counts, skill_category_counts, skill_dictionary,
         education_entries, education_degree_counts, experience_entries, experience_bullets,
         resume_records, resume_json, resume_dashboard, education_card_view, experience_card_view, file_size_labels, format_routes, reserved_slug_anti,
