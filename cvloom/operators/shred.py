@@ -438,17 +438,19 @@ def rebuild(payloads: Iterable[str | None]) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"row": []})
 
 
-def shred_records(df: DataFrame, id_col: str = "record_id", parent_col: str = "resume_id", payload_col: str = "payload") -> DataFrame:
+def shred_records(df: DataFrame, id_col: str = "record_id", parent_col: str = "resume_id", payload_col: str = "payload", columns: list[str] | None = None) -> DataFrame:
     """Flat tables of the nested lists in `payload_col`, all in one pass, as rows of FLAT.
 
     A row with `line_no` 0 is an entry of `field`; a row with a greater one is a line below it. Narrow: no shuffle.
     Payloads that are no valid JSON, empty ones among them, give one row of the field `error`, which only `error_table`
     shows; null payloads and JSON without the two lists give no rows. Objects may be nested to any depth. What an entry
     holds besides the known fields, a second value of a known field among it, is its `other`; what an employer of several
-    roles holds besides name and place is the `employer_other` of each role. Entries without any text and blank lines are not counted. Repeated payloads give their rows again; extra columns of `df` are left out. A null id is kept.
+    roles holds besides name and place is the `employer_other` of each role. Entries without any text and blank lines are not counted.
+    `columns` names those of FLAT that are wanted, since Spark cannot prune what comes out of Python (default: all). Repeated payloads give their rows again; extra columns of `df` are left out. A null id is kept.
     """
     need = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(parent_col).cast("bigint").alias("resume_id"), F.col(payload_col).cast("string").alias("payload"))
-    names = [x.split()[0] for x in FLAT.split(", ")]
+    kinds = dict(x.split() for x in FLAT.split(", "))
+    names = columns or list(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -457,11 +459,11 @@ def shred_records(df: DataFrame, id_col: str = "record_id", parent_col: str = "r
                 got = rebuild(part["payload"].where(part["payload"].notna(), None))
                 if len(got):
                     at = got["row"].to_numpy(dtype=np.int64)
-                    for c in ("record_id", "resume_id"):
+                    for c in {"record_id", "resume_id"} & set(names):
                         got[c] = part[c].array.take(at)
                     yield got.reindex(columns=names).astype({c: object for c in names if c not in _NUMBERS})
 
-    return need.mapInPandas(run, FLAT)
+    return need.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def entry_table(flat: DataFrame, field_name: str) -> DataFrame:

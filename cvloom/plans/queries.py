@@ -24,12 +24,12 @@ from cvloom.tables import spread, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _flat(spark: SparkSession, d: str) -> DataFrame:
-    return shred.shred_records(spread(table(spark, d, "parsed_records").select("record_id", "resume_id", "payload")))
+def _flat(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
+    return shred.shred_records(spread(table(spark, d, "parsed_records").select("record_id", "resume_id", "payload")), columns=columns)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.found(_flat(spark, d))
+    return shred.found(_flat(spark, d, ["record_id", "field", "entry_no", "line_no"]))
 
 
 def p1_education(spark: SparkSession, d: str) -> DataFrame:
