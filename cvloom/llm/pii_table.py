@@ -1,7 +1,7 @@
 """The labelled table that the personal-information model is trained on.
 
 Lines are put together by a grammar: a beginning, and one or two clauses that bring an item or something that looks like one.
-All wording is written for this table. `{kind:filler}` marks an item; fillers are drawn by rule, so that the model learns the
+No line is one of the test tables', but many paraphrase kinds of lines that occur there (see README). `{kind:filler}` marks an item; fillers are drawn by rule, so that the model learns the
 shape of items and the words around them and not particular names or numbers. Fillers in `<...>` are no personal information.
 """
 
