@@ -416,6 +416,22 @@ def test_one_word_and_twice(restorer):
     assert restorer.judge(twice, "fr").text == SAID["fr"][0]
 
 
+def test_steps_are_tried_once_for_the_same_characters(restorer, monkeypatch):
+    """What a step makes of some characters does not depend on the word that holds them."""
+    calls, undo = [], garble.undo_byte
+    monkeypatch.setattr(garble, "undo_byte", lambda *a: calls.append(a) or undo(*a))
+    restorer._readings("nÈÎf")
+    first = len(calls)
+    got = restorer._readings("ÎÈlot")
+    assert len(calls) == first and "éëlot".translate({ord("é"): "ë", ord("ë"): "é"}) in {u for u, *_ in got}
+    assert len({(u, k) for u, k, _ in got}) == len(got)
+
+
+def test_tokens_are_the_words_with_other_than_ascii_letters():
+    for text in ("", "a b", "« mot» été", "\xa0\u2009x é", "é\x1fè\u2028ü x", "a\xa0b\xa0c\xa0", " Âge, naïve\n\u3000ö "):
+        assert garble._tokens(text) == garble._TOKEN.findall(text)
+
+
 @pytest.mark.parametrize("read", ["mac_roman", "cp850", "cp1251"])
 @pytest.mark.parametrize("copies", [True, False])
 @pytest.mark.parametrize("share", [0.33, 0.85])
