@@ -448,6 +448,29 @@ def test_frequent_garbled_words_do_not_become_usual(read, copies, share):
     assert not any(r.judge(t, g).garbled for g, t in good)
 
 
+def test_all_rows_are_fitted_on(spark):
+    """Long texts, repeated ones and garbled ones too; the same as without Spark, whatever the order of the rows."""
+    rng = random.Random(3)
+    good = [(g, " ".join(rng.sample(s, 2))) for g, s in SAID.items() for _ in range(40)]
+    table = {b: ch for ch, b in garble._to_bytes("mac_roman").items()}
+    bad = [(g, "".join(chr(table[b]) for b in t.encode("cp1252"))) for g, t in rng.sample(good, 60)]
+    long = [("fr", f"{LONG}{k} Le señor Žižek est là.") for k in range(9)]
+    rows = good + good[:50] + bad + long + [(None, "Ungelöst."), ("", "Ungelöst."), ("fr", "caf\ufffd"), ("xx", "Żółw"), ("fr", " \n")]
+    df = spark.createDataFrame([(k, t, g) for k, (g, t) in enumerate(rng.sample(rows, len(rows)))] + [(0, None, "fr")], "doc_id bigint, text string, lang string")
+    got, want = garble.fit_table(df), garble.fit([r for r in rows if r[1].strip()])
+    assert (got.words, got.chars, got.content) == (want.words, want.chars, want.content)
+    assert {"Žižek", "señor"} <= got.words["fr"] and not any("\ufffd" in w for w in got.all_words)
+    assert not any(garble.Restorer(got).judge(t, g).garbled for g, t in good)
+    assert garble.fit_table(df.limit(0)).content == {}
+
+
+def test_texts_without_a_label_are_no_rival_of_a_label():
+    own, und = "The café owners have asked for clarity.", "Zwei Höfe. Ein Fußgänger."
+    model = garble.Model({"en": frozenset(["café"]), "und": frozenset(["Höfe"])}, frozenset("éöß"), {"en": own.encode() * 9, "und": und.encode() * 9})
+    model.prepare()
+    assert model.language(und, "en") == "en" and model.language(und, None) == "und"
+
+
 def test_judged_on_spark(spark):
     docs = [(k, s, g) for k, (g, s) in enumerate((g, " ".join(v)) for g, v in SAID.items() for _ in range(20))]
     docs += [(100, "The cafÃ© owners have asked for clarity.", None), (101, None, "en"), (102, "", None), (103, LONG, "en"), (100, "The cafÃ© owners have asked for clarity.", None)]
