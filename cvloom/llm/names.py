@@ -1,19 +1,21 @@
 """Linking variant spellings of organisation names to a register, and to each other (problem 6).
 
-Spellings are blocked by phonetic codes of their sorted tokens and compared token by token with Jaro-Winkler and a table of
-nicknames (short forms, other names, initials); accepted pairs, of a spelling with an entry of the register or with another
-spelling, are clustered by connected components.
+Spellings are compared token by token with Jaro-Winkler and a table of nicknames (short forms, other names, initials). Which
+tokens are alike at all is found first, without loss, by bounds on Jaro-Winkler; names meet where a token of theirs has one
+that is alike. Accepted pairs, of a spelling with an entry of the register or with another spelling, are clustered by
+connected components.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,35 +62,6 @@ def fold(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", re.sub(r"[&+]", " and ", t))
 
 
-_GROUPS = {c: k for k, letters in {"1": "bp", "2": "cgkqx", "3": "dt", "4": "l", "5": "mn", "6": "r", "7": "fvw", "8": "sz", "9": "j"}.items() for c in letters}
-
-
-@lru_cache(maxsize=200_000)
-def phonetic(word: str) -> str:
-    """Consonant groups of a word, runs of one group once; vowels and h, y are silent."""
-    out = ""
-    for c in word:
-        k = _GROUPS.get(c, c if c.isdigit() else "")
-        if k and (not out or out[-1] != k):
-            out += k
-    return out
-
-
-def block_keys(tokens: list[str]) -> set[str]:
-    """Keys under which a name is looked up: the phonetic code of each telling word, in sorted order of the words, and the
-    codes with one group left out (two, of longer codes), so that wrong consonants do not separate two spellings. Words
-    without consonants stand for themselves."""
-    keys = set()
-    for w in sorted(set(tokens)):
-        code = phonetic(w)
-        keys.add(code or f"={w}")
-        if len(code) > 2:
-            keys.update(code[:i] + code[i + 1 :] for i in range(len(code)))
-        if len(code) > 3:
-            keys.update(code[:i] + code[i + 1 : j] + code[j + 1 :] for i in range(len(code)) for j in range(i + 1, len(code)))
-    return keys
-
-
 @lru_cache(maxsize=500_000)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
@@ -212,6 +185,8 @@ def score(words: list[str], short: bool, e: Entry) -> float:
     g_cost, left, open_ = _assign(left, e.generic, True)
     if any(not _empty_word(w) for w in left):
         return 0.0
+    if not e.core and len(open_) == len(e.generic):
+        return 0.0  # no word of the entry
     if e.generic and len(open_) == len(e.generic):
         return 100.0 - cost - 16 + bonus  # only the telling words: right if no other entry has them
     return 100.0 - cost - g_cost - 3 * len(open_) + bonus
@@ -253,26 +228,82 @@ def register_words(register: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in counted.collect())
 
 
-def name_keys(words: list[str], generic: frozenset[str]) -> set[str]:
-    """Keys under which a name meets entries of the register."""
-    words = [w for w in words if w not in STOP]
-    telling = [w for w in words if w not in generic and w not in LEGAL]
-    keys = block_keys(telling or words)
-    if len(words) == 1 and len(words[0]) <= 5:
-        keys.add("#" + words[0])  # may be initials
+#: Words of a block that are compared at once, and how often a word may have one character (of a class) to have a bag.
+BLOCK, OFTEN = 2_000, 6
+
+
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 0 and 1 for each word, whose product with another's is the number of characters that they share or more
+    (rare characters share a class), and whether it has one: a word with a character more than OFTEN times has none."""
+    bags, whole = np.zeros((len(words), 64 * OFTEN), dtype=np.float32), np.ones(len(words), dtype=bool)
+    for k, w in enumerate(words):
+        for c, n in Counter(ord(c) % 64 for c in w).items():
+            bags[k, c * OFTEN : c * OFTEN + min(n, OFTEN)] = 1
+            whole[k] &= n <= OFTEN
+    return bags, whole
+
+
+def near_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
+    """All pairs of words that count as the same in either order: a Jaro-Winkler similarity of SAME or more.
+
+    Similarity is at most what all shared characters in one order would give, so only pairs whose shared characters and
+    common beginning suffice are compared.
+    """
+    if not left or not right:
+        return []
+    (a, whole_a), (b, whole_b) = _bags(left), _bags(right)
+    used = a.any(axis=0) & b.any(axis=0)
+    share = a[:, used] @ b[:, used].T
+    size_a, size_b = (np.array([len(w) for w in words], dtype=np.float32) for words in (left, right))
+    most = share * (1 / size_a[:, None] + 1 / size_b[None, :])  # of 2, for Jaro (most + 1) / 3
+    most[~whole_a, :] = most[:, ~whole_b] = 2
+    x, y = np.nonzero(most >= 3 * (SAME - 0.4) / 0.6 - 1 - 1e-3)
+    start_a, start_b = (np.array([[ord(c) for c in w[:4]] + [pad] * (4 - len(w[:4])) for w in words]) for words, pad in ((left, -1), (right, -2)))
+    jaro = np.minimum((most[x, y] + 1) / 3, 1)
+    begin = np.cumprod(start_a[x] == start_b[y], axis=1).sum(axis=1)
+    close = jaro + 0.1 * begin * (1 - jaro) >= SAME - 1e-3
+    pairs = ((left[i], right[j]) for i, j in zip(x[close], y[close]))
+    return [(p, q) for p, q in pairs if word_cost(p, q, False) is not None or word_cost(q, p, False) is not None]
+
+
+def near_keys(words: list[str], keys: list[str]) -> list[tuple[str, str]]:
+    """(word of a name, key of an entry) that lead from one to the other; see `entry_keys`."""
+    got = near_pairs(words, [k for k in keys if k[0] not in "#+"])
+    initials = {k[1:] for k in keys if k[0] == "#"}
+    got += [(w, "#" + w) for w in words if w in initials]
+    return got + [(w, k) for k in keys if k[0] == "+" for w in words if word_cost(w, k[1:], True) is not None]
+
+
+def entry_keys(e: Entry) -> set[str]:
+    """What a name must have to score with an entry: a word like its longest telling word, or like the first word of its
+    other name, or its initials; or, if it has no telling word, any that can stand for one of its generic words."""
+    keys = {max(e.core, key=lambda w: (len(w), w))} if e.core else {"+" + w for w in e.generic}
+    if e.other:
+        keys.add(e.other[0])
+    if 0 < len(e.initials) <= 5:
+        keys.add("#" + e.initials)
     return keys
 
 
-def entry_keys(e: tuple[int, str, str, str | None, str | None], generic: frozenset[str]) -> set[str]:
-    """Keys of an entry (org_id, kind, name, other name, city) of the register."""
-    return name_keys(fold(e[2]), generic) | (name_keys(fold(e[3]), generic) if e[3] else set()) | {"#" + entry(e[2], None, None, generic).initials}
+def near_table(left: DataFrame, right: DataFrame, pairs: Callable[[list[str], list[str]], list[tuple[str, str]]]) -> DataFrame:
+    """(a, b) of `pairs` between the distinct words of both sides (column w), a block of one with a block of the other at a time."""
+
+    def blocks(words: DataFrame, name: str) -> DataFrame:
+        d = words.select("w").distinct().checkpoint()
+        return d.groupBy(F.pmod(F.xxhash64("w"), F.lit(d.count() // BLOCK + 1)).alias("block")).agg(F.collect_list("w").alias(name)).select(name)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, q in zip(b["left"], b["right"]):
+                yield pd.DataFrame(pairs(list(p), list(q)), columns=["a", "b"])
+
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    return blocks(left, "left").crossJoin(blocks(right, "right")).repartition(4 * cores).mapInPandas(compare, "a string, b string").checkpoint()
 
 
-def group_keys(words: list[str]) -> list[str]:
-    """Keys under which spellings meet each other: the phonetic codes of their sorted words, and these with one consonant
-    group left out."""
-    code = " ".join(sorted(phonetic(w) or w for w in words if w not in STOP and w not in LEGAL))
-    return sorted({code, *(code[:i] + code[i + 1 :] for i in range(len(code)) if code[i] != " ")}) if code else []
+def core_words(name: str) -> list[str]:
+    """The words of a name that spellings are compared by, sorted."""
+    return sorted(w for w in name.split(" ") if w not in STOP and w not in LEGAL)
 
 
 def same_name(a: list[str], b: list[str]) -> bool:
@@ -288,16 +319,26 @@ class Register:
     """The register by key, in a worker."""
 
     def __init__(self, rows: list[tuple[int, str, str, str | None, str | None]], generic: frozenset[str]):
-        self.generic, self.by_key = generic, defaultdict(list)
+        self.by_key: dict[tuple[str, str], list[tuple[int, Entry]]] = defaultdict(list)
         for row in rows:
             e = entry(row[2], row[3], row[4], generic)
-            for k in entry_keys(row, generic):
+            for k in entry_keys(e):
                 self.by_key[row[1], k].append((row[0], e))
+        self.keys = sorted({k for _, k in self.by_key})
+        self.near: dict[str, list[str]] = {}
+
+    def learn(self, names: list[str]) -> None:
+        """Finds the keys of the words of names, for `best`."""
+        words = sorted({w for n in names for w in n.split(" ")} - self.near.keys())
+        self.near.update((w, []) for w in words)
+        for at in range(0, len(words), BLOCK):
+            for w, k in near_keys(words[at : at + BLOCK], self.keys):
+                self.near[w].append(k)
 
     def best(self, kind: str, name: str, short: bool) -> tuple[int | None, bool]:
         """(org_id or None, is it a tie) of a spelling; a tie between entries is no link."""
         words = name.split(" ")
-        near = {org: e for k in name_keys(words, self.generic) for org, e in self.by_key.get((kind, k), ())}
+        near = {org: e for w in set(words) for k in self.near[w] for org, e in self.by_key.get((kind, k), ())}
         top = sorted(((s, org) for org, e in near.items() if (s := score(words, short, e)) >= ACCEPT), reverse=True)[:2]
         if not top:
             return None, False
@@ -318,8 +359,8 @@ def _form(values: pd.Series) -> pd.DataFrame:
 def _register_links(forms: DataFrame, register: DataFrame, generic: frozenset[str]) -> DataFrame:
     """(kind, name, short, org_id, tie) of every form: the entry of the register that it means, or null.
 
-    A register of up to 100,000 entries (counted) is looked up in the workers, by key, so that no pair leaves the task that
-    makes it. A larger one is joined by key; then only numbers of forms and entries travel until the pairs are distinct.
+    Every entry that a form can score with shares a key with one of its words (`near_keys`). A register of up to 100,000
+    entries (counted) is looked up in the workers, so that no pair leaves the task that makes it. A larger one is joined; then only numbers of forms and entries travel until the pairs are distinct.
     """
     entries = register.select(F.col("org_id").cast("bigint"), "kind", F.coalesce("org_name", F.lit("")).alias("org_name"), "also_known_as", "city")
     schema = "kind string, name string, short boolean, org_id bigint, tie boolean"
@@ -330,24 +371,23 @@ def _register_links(forms: DataFrame, register: DataFrame, generic: frozenset[st
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reg = shared.get()
             for b in batches:
+                reg.learn(list(b["name"]))
                 got = [reg.best(k, n, s) for k, n, s in zip(b["kind"], b["name"], b["short"])]
                 yield b[["kind", "name", "short"]].assign(org_id=pd.array([g[0] for g in got], dtype="Int64"), tie=[g[1] for g in got])
 
         return forms.select("kind", "name", "short").mapInPandas(look_up, schema)
 
-    def keys_of_names(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: sorted(name_keys(n.split(" "), generic)))
-
     def keys_of_entries(names: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([sorted(entry_keys((0, "", n, o, None), generic)) for n, o in zip(names, others)])
+        return pd.Series([sorted(entry_keys(entry(n, o, None, generic))) for n, o in zip(names, others)])
 
     def scores(names: pd.Series, short: pd.Series, orgs: pd.Series, others: pd.Series, cities: pd.Series) -> pd.Series:
         return pd.Series([score(n.split(" "), s, entry(o, k, c, generic)) for n, s, o, k, c in zip(names, short, orgs, others, cities)], dtype="float64")
 
     numbered = forms.withColumn("form", F.xxhash64("kind", "name", "short")).checkpoint()
-    said = numbered.select("kind", "form", F.explode(F.pandas_udf(keys_of_names, "array<string>")("name")).alias("key"))
-    listed = entries.select("kind", "org_id", F.explode(F.pandas_udf(keys_of_entries, "array<string>")("org_name", "also_known_as")).alias("key"))
-    pairs = said.join(listed, ["kind", "key"]).select("form", "org_id").distinct()
+    said = numbered.select("kind", "form", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
+    listed = entries.select("kind", "org_id", F.explode(F.pandas_udf(keys_of_entries, "array<string>")("org_name", "also_known_as")).alias("w")).checkpoint()
+    near = near_table(said, listed, near_keys)
+    pairs = said.join(near.withColumnRenamed("a", "w"), "w").join(listed.withColumnRenamed("w", "b"), ["kind", "b"]).select("form", "org_id").distinct()
     full = pairs.join(numbered, "form").join(entries.drop("kind"), "org_id")
     scored = full.withColumn("score", F.pandas_udf(scores, "double")("name", "short", "org_name", "also_known_as", "city")).where(F.col("score") >= ACCEPT)
     w = Window.partitionBy("form").orderBy(F.desc("score"), F.desc("org_id"))
@@ -361,33 +401,47 @@ def _node(kind: str, name: str, short: str) -> Column:
     return F.concat_ws("\u0001", kind, F.col(short).cast("string"), name)
 
 
+def _words_node(bag: str) -> Column:
+    """A node for words, behind all other nodes, so that none names a component."""
+    return F.concat_ws("\u0001", F.lit("\U0010ffff"), "kind", bag)
+
+
 def clusters(forms: DataFrame, register: DataFrame) -> DataFrame:
     """(kind, name, short, org_id, tie, cluster) of the distinct forms (kind, name, short).
 
-    Edges lead from a form to the entry that it means, and from a form that means none by itself to a representative of the
-    forms that share a key with it, if the two are the same word for word. So a name of many slips is linked by way of one of
-    few, and variants of organisations outside of the register come together too. One representative per key keeps edges in
-    proportion to forms, however many share a key. `org_id` is the entry that the form itself means, or else the only one
-    that its cluster means; ties, and forms of clusters that mean several, have none.
+    Edges lead from a form to the entry that it means, and from a form that means none by itself to every form that is the
+    same word for word. So a name of many slips is linked by way of one of few, and variants of organisations outside of the
+    register come together too. Forms of the same words hang on one node for these words, so that only different words are
+    compared, and all that are alike meet: two names that are the same have as many words, and each word of the one is like
+    a word of the other, so a name is compared with those that have a word like the one of its words that leads to fewest.
+    `org_id` is the entry that the form itself means, or else the only one that its cluster means; ties, and forms of
+    clusters that mean several, have none.
     """
     use_checkpoints(forms.sparkSession)
     own = _register_links(forms, register, register_words(register)).withColumn("node", _node("kind", "name", "short")).checkpoint()
 
-    def keys(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: group_keys(n.split(" ")))
+    def words_of(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: " ".join(core_words(n)))
 
-    keyed = own.where("not tie").select("kind", "name", "node", "org_id", F.explode(F.pandas_udf(keys, "array<string>")("name")).alias("key"))
-    # linked forms first: what they mean is known
-    chosen = keyed.groupBy("kind", "key").agg(F.min_by(F.struct("name", "node"), F.struct(F.col("org_id").isNull(), F.length("name"), "node")).alias("rep"))
-    met = keyed.where("org_id is null").join(chosen, ["kind", "key"]).where("node != rep.node").select("name", "node", "rep.*").toDF("x", "a", "y", "b").distinct()
+    said = own.where("not tie").select("kind", "node", "org_id", F.pandas_udf(words_of, "string")("name").alias("bag")).where("bag != ''").checkpoint()
+    bags = said.groupBy("kind", "bag").agg(F.max(F.col("org_id").isNull()).alias("open"), F.count("*").alias("forms"))
+    bags = bags.withColumns({"words": F.split("bag", " "), "n": F.size(F.split("bag", " "))}).checkpoint()
+    listed = bags.select("kind", "n", "bag", "open", F.explode(F.array_distinct("words")).alias("w")).checkpoint()
+    near = near_table(listed.where("open"), listed, near_pairs)
+    leads = near.join(listed.groupBy("kind", "n", F.col("w").alias("b")).count(), "b").groupBy("kind", "n", F.col("a").alias("w")).agg(F.sum("count").alias("leads"))
+    by = listed.where("open").join(leads, ["kind", "n", "w"]).groupBy("kind", "n", "bag").agg(F.min_by("w", F.struct("leads", "w")).alias("a"))
+    met = by.join(near, "a").join(listed.select("kind", "n", F.col("bag").alias("other"), F.col("w").alias("b")), ["kind", "n", "b"]).where("bag != other").select("kind", "bag", "other").distinct()
 
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([same_name(p.split(" "), q.split(" ")) for p, q in zip(x, y)], dtype=bool)
 
-    among = met.withColumn("same", F.pandas_udf(same, "boolean")("x", "y")).where("same").select("a", "b")
-    # a form that means an entry and that no other form needs is a cluster of its entry already
-    used = among.select(F.col("b").alias("node")).union(among.select(F.col("a").alias("node"))).distinct()
-    to_entry = own.where("org_id is not null").join(used, "node", "left_semi").select(F.concat_ws("\u0001", F.lit("org"), F.col("org_id").cast("string")).alias("a"), F.col("node").alias("b"))
+    cores = forms.sparkSession.sparkContext.defaultParallelism
+    among = met.repartition(4 * cores).withColumn("same", F.pandas_udf(same, "boolean")("bag", "other")).where("same").select("kind", "bag", "other").checkpoint()
+    # words that one form has and no other is like need no node
+    used = among.select("kind", "bag").union(among.select("kind", "other")).union(bags.where("open and forms > 1").select("kind", "bag")).distinct()
+    hung = said.join(used, ["kind", "bag"]).select("org_id", F.col("node").alias("a"), _words_node("bag").alias("b")).checkpoint()
+    to_entry = hung.where("org_id is not null").select(F.concat_ws("\u0001", F.lit("org"), F.col("org_id").cast("string")).alias("a"), F.col("a").alias("b"))
+    among = among.select(_words_node("bag").alias("a"), _words_node("other").alias("b")).unionByName(hung.select("a", "b"))
     parts = connected_components(among.unionByName(to_entry))
     joined = own.join(parts, "node", "left")
     means = joined.where("component is not null and org_id is not null").groupBy("component").agg(F.min("org_id").alias("one"), F.max("org_id").alias("other")).where("one = other").select("component", "one")

@@ -211,6 +211,45 @@ def test_variants_come_together(spark):
     assert rows["Harbour Tailors"].cluster != rows["Fenstead Tailors"].cluster and not any(r.org_id for r in rows.values())
 
 
+def test_words_that_are_alike_are_all_found():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abeinrst") for _ in range(rng.randrange(1, 9))) for _ in range(500)} | {"aaaaaaaaab", "aaaaaaaaba", "łódź", "łódżź", "東京大", "東京大学", "technologies", "tech"})
+    alike = {(a, b) for a in words for b in words if max(names.jaro_winkler(a, b), names.jaro_winkler(b, a)) >= names.SAME}
+    assert set(names.near_pairs(words[:99], words) + names.near_pairs(words[99:], words)) == alike
+
+
+def test_all_pairs_that_meet_the_threshold_are_linked(spark):
+    """Not only those with one representative per phonetic code, and with the entry of the register that has such a code."""
+    register = spark.createDataFrame([(1, "company", "Quelstead Bank", None, None), (2, "company", "Ildwick Bank", None, None), (3, "company", "Nor Bank", None, None)], "org_id bigint, kind string, org_name string, also_known_as string, city string")
+    said = ["Harrowgate Tailors", "Harrobkdate Tailors", "Mandelstone Ltd", "Mandelsxkfgone", "Mandelsxktone", "Tandelsxkfgone"] + [f"Penbrook{a}{b} Mills" for a in "bdfgk" for b in "lmnrst"]
+    rows = {r.value: r for r in names.link_values(spark.createDataFrame([("company", v) for v in said], "kind string, value string"), register).collect()}
+    parent = {v: v for v in said}
+
+    def root(v):
+        return v if parent[v] == v else root(parent[v])
+
+    for a in said:
+        for b in said:
+            if names.same_name(names.fold(a), names.fold(b)):
+                parent[root(a)] = root(b)
+    assert len(rows) == len(said)
+    assert {(a, b) for a in said for b in said if rows[a].cluster == rows[b].cluster} == {(a, b) for a in said for b in said if root(a) == root(b)}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_every_entry_that_scores_is_looked_at(spark, monkeypatch, small):
+    monkeypatch.setattr(names, "are_small", lambda *_: small)
+    reg = [(1, "company", "Brightwater Systems", None, None), (2, "company", "Brigthwader Bank", None, None), (3, "company", "National Bank", None, None)] + [(k + 10, "company", f"{w} {t}", None, None) for k, (w, t) in enumerate([("Qarlo", "Systems"), ("Wenda", "Systems"), ("Zubri", "National"), ("Holto", "Bank"), ("Mirsa", "National")])]
+    said = ["Prightwater Systems", "Brihtgwaxkr Sys", "Natl. Bnk", "Ltd", "Jarlo Systems", "brightwadef bank"]
+    register = spark.createDataFrame(reg, "org_id bigint, kind string, org_name string, also_known_as string, city string")
+    got = {r.value: (r.org_id, r.tie) for r in names.link_values(spark.createDataFrame([("company", v) for v in said], "kind string, value string"), register).collect()}
+    generic = names.register_words(register)
+    for v in said:
+        top = sorted(((names.score(names.fold(v), False, names.entry(r[2], r[3], r[4], generic)), r[0]) for r in reg), reverse=True)
+        tie = top[0][0] >= names.ACCEPT and top[0][0] - top[1][0] < names.AHEAD
+        assert got[v] == (top[0][1] if top[0][0] >= names.ACCEPT and not tie else None, tie), v
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)] + [(f"p{k:02d}", f"p{k + 1:02d}") for k in range(20)]
