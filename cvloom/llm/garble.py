@@ -503,30 +503,31 @@ def fit_table(documents: DataFrame) -> Model:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens: list[list[str] | None] = []
-            chars: list[list[str]] = []
+            tokens: list[str | None] = []  # in one string, as none holds an ordinary blank
+            chars: list[str] = []
             for t in b.column(2).to_pylist():
                 whole = t.isascii() or not _LOST.search(t)
-                tokens.append(list(dict.fromkeys(_tokens(t))) if whole else None)
-                chars.append([c for c in set(t) if c > "\x7f"] if whole else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.list_(pa.string())), pa.array(chars, pa.list_(pa.string()))], ["lang", "h", "tokens", "chars"])
+                tokens.append(" ".join(sorted(set(_tokens(t)))) if whole else None)
+                chars.append(" ".join(sorted(c for c in set(t) if c > "\x7f")) if whole and not t.isascii() else "")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.string()), pa.array(chars, pa.string())], ["lang", "h", "tokens", "chars"])
 
-    looked = d.mapInArrow(look, "lang string, h bigint, tokens array<string>, chars array<string>")
+    looked = d.mapInArrow(look, "lang string, h bigint, tokens string, chars string")
     texts = looked.groupBy("lang", "h").agg(F.count("*").alias("k"), F.first("tokens").alias("tokens"), F.first("chars").alias("chars")).checkpoint()
     rows = texts.agg(F.sum("k")).first()[0] or 0
     size = F.sum("k").alias("k")
     spoken = {r.lang: r.k for r in texts.where("tokens is not null").groupBy("lang").agg(size).where(F.col("k") >= max(3, rows * LANGUAGE_SHARE)).collect()}
     texts = texts.where(F.col("tokens").isNotNull() & F.col("lang").isin(list(spoken)))
-    letters = texts.select("k", F.explode("chars").alias("c")).groupBy("c").agg(size).where(F.col("k") >= max(3, sum(spoken.values()) * USUAL)).collect()
+    letters = texts.select("k", F.explode(F.split("chars", " ")).alias("c")).where("c != ''").groupBy("c").agg(size).where(F.col("k") >= max(3, sum(spoken.values()) * USUAL)).collect()
     usual_letters = frozenset(r.c for r in letters)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undoable, word = _undoable(usual_letters), lru_cache(maxsize=200_000)(_word)
         for b in batches:
-            got = [(g, k, list(set(map(word, ts)))) for g, k, ts in zip(*(c.to_pylist() for c in b.columns)) if not any(map(undoable, ts))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], ["lang", "k", "words"])
+            rows = ((g, k, ts.split(" ") if ts else []) for g, k, ts in zip(*(c.to_pylist() for c in b.columns)))
+            got = [(g, k, " ".join(set(map(word, ts)))) for g, k, ts in rows if not any(map(undoable, ts))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())], ["lang", "k", "words"])
 
-    kept = texts.select("lang", "k", "tokens").mapInArrow(clean, "lang string, k bigint, words array<string>").checkpoint()
+    kept = texts.select("lang", "k", "tokens").mapInArrow(clean, "lang string, k bigint, words string").withColumn("words", F.when(F.col("words") != "", F.split("words", " ")).otherwise(F.array().cast("array<string>"))).checkpoint()
 
     def per_language(kept: DataFrame) -> dict[str, int]:
         return {r.lang: r.k for r in kept.groupBy("lang").agg(size).collect()}
@@ -580,12 +581,13 @@ def fit_table(documents: DataFrame) -> Model:
             return pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "s", "k"])
 
         seen: Counter = Counter()
+        good = lru_cache(maxsize=200_000)(lambda x: x.isascii() or all(_word(m) in usual for m in _tokens(x)))
         for b in batches:
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 states = [state(m) for m in _tokens(t)]
                 if not any(un or g in dropped and bad for un, bad, _ in states) and not _LOST.search(t):
                     same = all(ok for *_, ok in states)
-                    seen.update((g, x) for x in _sentences(t) if same or all(_word(m) in usual for m in _tokens(x)))
+                    seen.update((g, x) for x in _sentences(t) if same or good(x))
             if len(seen) > 100_000:
                 yield out(seen)
                 seen = Counter()
